@@ -41,10 +41,10 @@ b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
 win as (
   select distinct item_id, least(len(w), 8) as k, array_to_string(w[i:i + 7], ' ') as g
   from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 7, 1))) as i from b where len(w) > 0)),
-at as (select rid, w, unnest(generate_series(1, len(w))) as i from d),
+spot as (select rid, w, unnest(generate_series(1, len(w))) as i from d),
 occ as (
   select distinct rid, i, win.k, item_id
-  from at join (select distinct k from win) ks on i + ks.k - 1 <= len(w)
+  from spot join (select distinct k from win) ks on i + ks.k - 1 <= len(w)
   join win on win.k = ks.k and win.g = array_to_string(w[i:i + ks.k - 1], ' ')),
 hit as (select rid, count(distinct p) as n_hit from (select rid, unnest(generate_series(i, i + k - 1)) as p from occ) group by rid),
 its as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct rid, item_id::varchar as item from occ) group by rid)
