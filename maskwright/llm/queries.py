@@ -11,6 +11,10 @@ from .common import table
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .lang_ppm import language_id
+from .rans_store import read_files, write_files
+
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +29,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_files(write_files(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op9_language_id": op9_language_id}
+    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
