@@ -11,6 +11,7 @@ from .common import table
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .lang_ppm import language_id
+from .near_dedup import near_duplicates
 from .rans_store import read_files, write_files
 
 TOKENIZERS = "/opt/tokenizers"
@@ -37,8 +38,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id}
+    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id, "op10_near_dedup": op10_near_dedup}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
