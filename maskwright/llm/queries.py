@@ -11,6 +11,7 @@ from .common import table
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup
 from .lang_ppm import language_id
+from .license_scan import digest, license_scan
 from .near_dedup import near_duplicates
 from .rans_store import read_files, write_files
 
@@ -30,6 +31,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(license_scan(table(spark, sf_dir, "documents")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(write_files(table(spark, sf_dir, "documents"), BYTE_BPE))
 
@@ -43,7 +48,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id, "op10_near_dedup": op10_near_dedup}
+    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id, "op10_near_dedup": op10_near_dedup}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
