@@ -14,6 +14,8 @@ from .lang_ppm import language_id
 from .license_scan import digest, license_scan
 from .near_dedup import near_duplicates
 from .rans_store import read_files, write_files
+from .secret_scan import digest as secret_digest
+from .secret_scan import secret_scan
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -35,6 +37,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(license_scan(table(spark, sf_dir, "documents")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(write_files(table(spark, sf_dir, "documents"), BYTE_BPE))
 
@@ -48,7 +54,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id, "op10_near_dedup": op10_near_dedup}
+    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op5_secret_scan": op5_secret_scan, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id, "op10_near_dedup": op10_near_dedup}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
