@@ -16,9 +16,11 @@ from .near_dedup import near_duplicates
 from .rans_store import read_files, write_files
 from .secret_scan import digest as secret_digest
 from .secret_scan import secret_scan
+from .sp_codec import round_trip
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(write_files(table(spark, sf_dir, "documents"), BYTE_BPE))
 
@@ -54,7 +60,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op5_secret_scan": op5_secret_scan, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id, "op10_near_dedup": op10_near_dedup}
+    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op5_secret_scan": op5_secret_scan, "op7_sentencepiece": op7_sentencepiece, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id, "op10_near_dedup": op10_near_dedup}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
