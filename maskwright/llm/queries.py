@@ -17,6 +17,8 @@ from .rans_store import read_files, write_files
 from .secret_scan import digest as secret_digest
 from .secret_scan import secret_scan
 from .sp_codec import round_trip
+from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -39,10 +41,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(license_scan(table(spark, sf_dir, "documents")))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), PIECES)
 
@@ -60,7 +70,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_exact_dedup": op2_exact_dedup, "op3_license_scan": op3_license_scan, "op5_secret_scan": op5_secret_scan, "op7_sentencepiece": op7_sentencepiece, "op8_token_files": op8_token_files, "op9_language_id": op9_language_id, "op10_near_dedup": op10_near_dedup}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_license_scan": op3_license_scan,
+        "op4_substring_dedup": op4_substring_dedup,
+        "op5_secret_scan": op5_secret_scan,
+        "op6_token_counts": op6_token_counts,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_token_files": op8_token_files,
+        "op9_language_id": op9_language_id,
+        "op10_near_dedup": op10_near_dedup,
+    }
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
