@@ -11,7 +11,9 @@ that share a band are candidates.
 A band's bucket of n documents isn't expanded into pairs: all are compared
 with its smallest (n - 1 pairs), and links confirmed on full sets are grouped.
 Only in buckets whose documents then lie in different groups are the pairs
-across groups compared, so no candidate pair is left open. With BANDS bands of
+across groups compared, so no candidate pair is left open. Before full sets
+are fetched, a sketch of a few bits a position rules out pairs that are far from
+the threshold (a pair at the threshold is lost less than once in 100,000). With BANDS bands of
 BAND_ROWS positions a pair at similarity 0.75 shares a band with probability
 0.99998.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,9 @@ from .components import connected_components
 SHINGLE = 5
 PERCENT = 75
 BANDS, BAND_ROWS = 40, 5
-SHINGLE_SLICE = 1 << 20
+SIGNATURE = 400
+SHINGLE_SLICE = 1 << 19
+SKETCH, PLANES = 384, 4
 
 def _odd(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
@@ -105,14 +110,45 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(keys).view(np.int64)
 
 
+def sketch_words(signatures: np.ndarray) -> list[np.ndarray]:
+    """PLANES bits of each of SKETCH positions: for each word of 64 positions, a word of every plane. Equal positions have
+    equal bits; others have with probability 1 / 2 ** PLANES."""
+    at = np.arange(SKETCH) * signatures.shape[1] // SKETCH
+    place = np.arange(SKETCH, dtype=np.uint64) % np.uint64(64)
+    out = []
+    for k in range(0, SKETCH, 64):
+        for plane in range(PLANES):
+            bits = (signatures[:, at[k : k + 64]] >> np.uint64(plane) & np.uint64(1)) << place[k : k + 64]
+            out.append(np.bitwise_or.reduce(bits, axis=1).view(np.int64))
+    return out
+
+
+def sketch_limit(percent: int) -> int:
+    """Differing positions that a pair at the threshold exceeds less than once in a hundred thousand."""
+    p = (1 - percent / 100) * (1 - 0.5**PLANES)
+    return int(SKETCH * p + 4.4 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+BITS = [f"s{k}" for k in range(SKETCH // 64 * PLANES)]
+
+
+def _alike(a: str, b: str, percent: int) -> F.Column:
+    """Whether two sketches differ in few enough positions."""
+    differ = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in BITS]
+    words = [reduce(lambda x, y: x.bitwiseOR(y), differ[k : k + PLANES]) for k in range(0, len(BITS), PLANES)]
+    return sum((F.bit_count(w) for w in words), F.lit(0)) <= sketch_limit(percent)
+
+
 def _sketch(bands: int, rows: int, size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SHINGLE_SLICE):
             sets = shingle_sets(b.column("text"), size)
-            keys = band_keys(superminhash(sets, bands * rows), bands, rows)
+            signatures = superminhash(sets, max(SIGNATURE, bands * rows))
+            keys = band_keys(signatures[:, : bands * rows], bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+            words = sketch_words(signatures)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n", "class", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, *map(pa.array, words)], ["doc_id", "n", "class", "keys", *BITS])
 
     return run
 
@@ -120,19 +156,27 @@ def _sketch(bands: int, rows: int, size: int):  # noqa: ANN202
 def _sets(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), size)], pa.binary())], ["doc_id", "shingles"])
+            sets = shingle_sets(b.column("text"), size)
+            ends = np.cumsum([0, *(len(s) for s in sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "shingles"])
 
     return run
 
 
+def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, str]:
+    """The shingle sets of the documents with these ids, stored. docs: doc_id, text; ids: doc_id."""
+    found = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id bigint, shingles array<bigint>")
+    return stored(found, "sets", "none")
+
+
 def _confirm(percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two = b.column("one"), b.column("two")
+            (x, at_x), (y, at_y) = ((np.asarray(c.values), np.asarray(c.offsets)) for c in (b.column("one"), b.column("two")))
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (one, two))
-                both = np.concatenate([x, y])
+                both = np.concatenate([x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep[i] = 100 * common >= percent * (len(both) - common)
@@ -141,16 +185,11 @@ def _confirm(percent: int):  # noqa: ANN202
     return run
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (u, v) of ids whose full shingle sets are similar enough. docs: doc_id, text."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id bigint, shingles binary")
-    sets, path = stored(sets, "sets", "none")
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (u, v) of ids whose full shingle sets are similar enough."""
     with_v = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("two")), "v")
     both = with_v.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("one")), "u")
-    links, _ = stored(both.mapInArrow(_confirm(percent), "u bigint, v bigint"), "links")
-    drop_path(docs.sparkSession, path)
-    return links
+    return stored(both.mapInArrow(_confirm(percent), "u bigint, v bigint"), "links")[0]
 
 
 def near_duplicates(
@@ -165,42 +204,70 @@ def near_duplicates(
     spark = docs.sparkSession
     arrow_batches(spark)
     src = columns_only(docs, **{id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
-    schema = "doc_id bigint, n bigint, class binary, keys array<bigint>"
+    schema = "doc_id bigint, n bigint, class binary, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in BITS)
     sketches, sketch_path = stored(src.mapInArrow(_sketch(bands, rows, size), schema), "sketches")
     live = sketches.filter("n > 0 and doc_id is not null")
     # the smallest id stands for its class; minima are taken before the shuffle, so a large class is no bottleneck
-    heads = live.groupBy("class").agg(F.min(F.struct("doc_id", "n", "keys")).alias("rep"))
-    buckets = heads.select(F.col("rep.doc_id").alias("rep"), F.col("rep.n").alias("n"), F.explode("rep.keys").alias("key"))
+    heads = live.groupBy("class").agg(F.min(F.struct("doc_id", "n", "keys", *BITS)).alias("rep"))
+    heads, reps_path = stored(heads.select("rep.*"), "classes")
+    bits = heads.select(F.col("doc_id").alias("rep"), *BITS)
+    buckets = heads.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
     heads = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
     shared, shared_path = stored(buckets.join(heads, "key").select("key", "rep", "n", "head", "size"), "buckets")
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     pairs = shared.filter(F.col("rep") != F.col("head.rep")).filter(fits(F.col("n"), F.col("head.n")))
-    pairs, pairs_path = stored(pairs.select(F.col("rep").alias("u"), F.col("head.rep").alias("v")).distinct(), "pairs")
-    links = confirmed(src, pairs, size, percent)
+    pairs = pairs.select(F.col("rep").alias("u"), F.col("head.rep").alias("v")).distinct().alias("p")
+    pairs = pairs.join(bits.alias("a"), F.col("p.u") == F.col("a.rep")).join(bits.alias("b"), F.col("p.v") == F.col("b.rep")).filter(_alike("a", "b", percent))
+    pairs, pairs_path = stored(pairs.select("u", "v").distinct(), "pairs")
+    ends = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    sets, sets_path = full_sets(src, ends, size)
+    links = confirmed(sets, pairs, percent)
+    drop_path(spark, sets_path)
     members = live.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     several = live.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("doc_id")
     same_id = live.select("doc_id", "class").join(several, "doc_id", "left_semi").join(members, "class").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     groups = connected_components(links.unionAll(same_id))
-    more = _across_groups(shared, groups, fits)
-    more, more_path = stored(more, "pairs")
-    if not more.isEmpty():
-        found = confirmed(src, more, size, percent)
-        groups = connected_components(groups.unionAll(found))
+    open_, open_path = _open_members(shared, groups, bits)
+    if not open_.isEmpty():
+        sets, sets_path = full_sets(src, open_.select(F.col("rep").alias("doc_id")).distinct(), size)
+        more, more_path = stored(_across_groups(open_, sets, fits, percent), "pairs")
+        groups = connected_components(groups.unionAll(confirmed(sets, more, percent)))
+        drop_path(spark, sets_path)
+        drop_path(spark, more_path)
     group_of = members.join(groups.select(F.col("u").alias("rep"), F.col("v").alias("group_id")), "rep", "left")
     group_of = group_of.filter("copies > 1 or group_id is not null").select("class", F.coalesce("group_id", "rep").alias("component"))
     out = sketches.select("doc_id", "n", "class").join(group_of, "class", "left")
     component = F.when(F.col("n") > 0, F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))).otherwise(F.col("doc_id"))
-    for path in (shared_path, pairs_path, more_path):
+    for path in (shared_path, pairs_path, reps_path, open_path):
         drop_path(spark, path)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across_groups(shared: DataFrame, groups: DataFrame, fits) -> DataFrame:  # noqa: ANN001
-    """Pairs that share a bucket of three or more, lie in different groups, and were not compared."""
+def _open_members(shared: DataFrame, groups: DataFrame, bits: DataFrame) -> tuple[DataFrame, str]:
+    """Members of those buckets of three or more whose members lie in different groups, without each bucket's smallest."""
     placed = shared.filter("size > 2").join(groups.select(F.col("u").alias("rep"), F.col("v").alias("grp")), "rep", "left")
     placed = placed.select("key", "rep", "n", F.col("head.rep").alias("head"), F.coalesce("grp", "rep").alias("grp"))
     mixed = placed.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("key")
-    open_, _ = stored(placed.join(mixed, "key", "left_semi").filter("rep <> head"), "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.grp") != F.col("b.grp")) & fits(F.col("a.n"), F.col("b.n")))
-    return met.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
+    return stored(placed.join(mixed, "key", "left_semi").filter("rep <> head").join(bits, "rep"), "open")
+
+
+def _across_groups(open_: DataFrame, sets: DataFrame, fits, percent: int) -> DataFrame:  # noqa: ANN001
+    """Pairs of open members that share a bucket, lie in different groups, and can be similar enough.
+
+    A shingle that no other open member has is in no intersection. With n shingles, of which m are in other sets too, a pair
+    can reach the threshold only if (100 + percent) * min(m) >= percent * sum(n): this bound leaves few pairs of a group of
+    loose copies, in which each has changes of its own.
+    """
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    own = each.groupBy("shingle").agg(F.count("*").alias("times"), F.min("doc_id").alias("rep")).filter("times = 1")
+    own = own.groupBy("rep").agg(F.count("*").alias("own"))
+    known = open_.join(own, "rep", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
+    known = known.filter((100 + percent) * F.col("m") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
+    keys = known.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # as many as there are bands at most
+    known, _ = stored(known.join(keys, "rep"), "open")
+    a, b = known.alias("a"), known.alias("b")
+    reach = (100 + percent) * F.least("a.m", "b.m") >= percent * (F.col("a.n") + F.col("b.n"))
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.grp") != F.col("b.grp"))
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # of the buckets that a pair shares, in one
+    met = a.join(b, same & reach & fits(F.col("a.n"), F.col("b.n")) & _alike("a", "b", percent) & once)
+    return met.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
