@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import CATEGORIES, LOOKALIKE, PREFILTER, RULES, SHADOW_KINDS, compiled, for_java
+from ..functions.patterns import CATEGORIES, LOOKALIKE, PREFILTER, RULES, SHADOW_KINDS, Rule, compiled, for_java
 from .dictionary import Entry, NameParts
 
 PRESET, LISTED, SPLIT, PATTERN, SHADOWED, SWEPT = range(6)
@@ -185,13 +185,22 @@ def native_text(line: Column, ocr: bool = False) -> Column:
             new = F.lit("$1" + mark.replace("$", "\\$") + "$" + str(_groups(prefix) + _groups(tail[:end]) + 3))
         else:
             new = F.lit(mark)
+        out = _step(out, line, r, F.lit(pattern), new, ocr)
+    return out
+
+
+def _step(text: Column, line: Column, r: Rule, pattern: Column, new: Column, ocr: bool) -> Column:
+    """One rule of the chain. The text is bound to a name: written out at each use, the chain would grow threefold with every rule."""
+
+    def replaced(t: Column) -> Column:
         test = F.lit(True)
         if r.gate:
             test = test & line.rlike(for_java(r.gate, True, ocr))
         if r.unless:
-            test = test & ~out.rlike(for_java(r.unless, True, ocr))
-        out = F.when(test, F.regexp_replace(out, F.lit(pattern), new)).otherwise(out)
-    return out
+            test = test & ~t.rlike(for_java(r.unless, True, ocr))
+        return F.when(test, F.regexp_replace(t, pattern, new)).otherwise(t)
+
+    return F.get(F.transform(F.array(text), replaced), F.lit(0))
 
 
 def _groups(pattern: str) -> int:

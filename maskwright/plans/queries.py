@@ -108,8 +108,8 @@ def findings_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_LINES}, f as (
   select doc_id, line_no, regexp_extract_all(line, '{_EMAIL}') as l from lines where line like '%@%'),
 e as (select upper(unnest(l)) as norm, doc_id, line_no, generate_subscripts(l, 1) as p from f),
-one as (select norm, min((doc_id * 1000000 + line_no) * 1000 + p) as at, count(*) as n from e group by norm)
-select norm, n, '[EMAIL-' || cast(row_number() over (order by at) as varchar) || ']' as token from one""")
+one as (select norm, min((doc_id * 1000000 + line_no) * 1000 + p) as spot, count(*) as n from e group by norm)
+select norm, n, '[EMAIL-' || cast(row_number() over (order by spot) as varchar) || ']' as token from one""")
 def token_first_encounter(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = tokens.explode_hits(fold(document_lines(spark, sf_dir))).filter("kind = 'EMAIL'")
     return tokens.token_table(hits, range_docs=100).select("norm", "n", "token")
@@ -238,7 +238,7 @@ def addr_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select("k", F.explode(make(value)).alias("variant"))
 
 
-@query("""select c_custkey as k, case c_custkey % 3 when 0 then '[NAME-Z] & [NAME-Z] [NAME-Z]' when 1 then 'JOHN went out' else '[NAME-Z] / field / [NAME-Z]' end as text from customer""")
+@query("""select c_custkey as k, case c_custkey % 3 when 0 then '[NAME-Z] & [NAME-Z]' when 1 then 'JOHN went out' else '[NAME-Z] / field / [NAME-Z]' end as text from customer""")
 def split_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _repeated(spark, sf_dir, "case k % 3 when 0 then 'JOHN & JANE SAMPLE' when 1 then 'JOHN went out' else 'SAMPLE / field / JOHN' end")
     lines = lines.withColumn("line", F.when(F.col("doc_ord") % 3 == 0, F.lit("JOHN & MARY SAMPLE")).otherwise(F.col("line")))
@@ -279,9 +279,9 @@ def audit_name_warn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select case when who % 2 = 0 then 'name' else 'employer' end as category, case when who % 2 = 0 then 'JANE ' || x || ' SAMPLE' else 'FIRST ' || x || ' BANK' end as value, first as doc_ord
-from (select who, min(k) as first, chr(65 + cast(who // 20 as int)) || chr(65 + cast(who % 20 as int)) || 'X' as x from (select c_custkey as k, c_custkey % 60 as who from customer) group by who)""")
+from (select who, min(k) as first, chr(65 + cast(who // 20 as int)) || chr(65 + cast(who % 20 as int)) || 'Q' as x from (select c_custkey as k, c_custkey % 60 as who from customer) group by who)""")
 def suggest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = "chr(65 + cast(floor((k % 60) / 20) as int)) || chr(65 + cast((k % 60) % 20 as int)) || 'X'"
+    x = "chr(65 + cast(floor((k % 60) / 20) as int)) || chr(65 + cast((k % 60) % 20 as int)) || 'Q'"
     lines = _repeated(spark, sf_dir, f"case when k % 60 % 2 = 0 then 'TAXPAYER NAME: JANE ' || {x} || ' SAMPLE' else 'PAYER: FIRST ' || {x} || ' BANK' end")
     return mining.suggest(lines).select("category", "value", "doc_ord")
 
@@ -311,7 +311,7 @@ def native_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("doc_ord").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), (F.col("line") == native_text(F.col("raw"))).alias("same"))
 
 
-@query("""select c_custkey as k, '0l' || cast(c_custkey % 10 as varchar) || '1 O' as a, 'SSN ' || cast(c_custkey % 10 as varchar) || '01x' as b from customer""")
+@query("""select c_custkey as k, 'O1' || cast(c_custkey % 10 as varchar) || '1 O' as a, 'SSN ' || cast(c_custkey % 10 as varchar) || '01x' as b from customer""")
 def shadow_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.expr("cast(c_custkey % 10 as string)")
     return read_table(spark, sf_dir, "customer").select(
@@ -333,10 +333,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents of one to four pages, of line items as lines."""
     items = read_table(spark, sf_dir, "lineitem")
     page = ((F.col("l_linenumber") + 1) / 2).cast("int")
-    return items.select(F.col("l_orderkey").alias("doc_ord"), page.alias("page_no"), F.col("l_linenumber").alias("page_line"), F.concat(F.lit("item "), F.col("l_partkey").cast("string")).alias("line"))
+    return items.select(F.col("l_orderkey").alias("doc_ord"), page.alias("page_no"), (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("page_line"), F.concat(F.lit("item "), F.col("l_partkey").cast("string")).alias("line"))
 
 
-@query("""with l as (select l_orderkey as d, cast(floor((l_linenumber + 1) / 2) as int) as p, l_linenumber as i, 'item ' || cast(l_partkey as varchar) as line from lineitem),
+@query("""with l as (select l_orderkey as d, cast(floor((l_linenumber + 1) / 2) as int) as p, l_linenumber * 1000000000::bigint + l_partkey as i, 'item ' || cast(l_partkey as varchar) as line from lineitem),
 m as (select distinct d, p from l where d in (select d from l group by d having count(distinct p) > 1)),
 a as (select d, p, i, line from l union all select d, p, null, '===== PAGE ' || cast(p as varchar) || ' =====' from m)
 select d as doc_ord, row_number() over (partition by d order by p, i nulls first) - 1 as line_no, line from a""")
@@ -344,7 +344,7 @@ def page_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitch_pages(_pages(spark, sf_dir)).select("doc_ord", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
-@query("""with l as (select l_orderkey as d, l_linenumber as i, 'item ' || cast(l_partkey as varchar) as line from lineitem)
+@query("""with l as (select l_orderkey as d, l_linenumber * 1000000000::bigint + l_partkey as i, 'item ' || cast(l_partkey as varchar) as line from lineitem)
 select d as doc_ord, string_agg(line, chr(10) order by i) as text from l group by d""")
 def text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_lines(_pages(spark, sf_dir).withColumn("line_no", F.col("page_line")))

@@ -28,8 +28,8 @@ def stitch_pages(pages: DataFrame) -> DataFrame:
     several = F.max("page_no").over(W.partitionBy("doc_ord")) != F.min("page_no").over(W.partitionBy("doc_ord"))
     marks = pages.groupBy("doc_ord", "page_no").agg(F.lit(1).alias("one")).withColumn("several", several).filter("several")
     before, after = PAGE_SEP.split("{n}")
-    marks = marks.select("doc_ord", "page_no", F.lit(None).cast("int").alias("page_line"), F.concat(F.lit(before), F.col("page_no").cast("string"), F.lit(after)).alias("line"))
-    both = pages.select("doc_ord", "page_no", F.col("page_line").cast("int").alias("page_line"), "line").unionByName(marks)
+    marks = marks.select("doc_ord", "page_no", F.lit(None).cast("bigint").alias("page_line"), F.concat(F.lit(before), F.col("page_no").cast("string"), F.lit(after)).alias("line"))
+    both = pages.select("doc_ord", "page_no", F.col("page_line").cast("bigint").alias("page_line"), "line").unionByName(marks)
     nth = F.row_number().over(W.partitionBy("doc_ord").orderBy("page_no", F.col("page_line").asc_nulls_first())) - 1
     return both.select("doc_ord", nth.alias("line_no"), "page_no", "page_line", "line")
 
