@@ -157,8 +157,8 @@ def _places(words: Column, pattern: Column) -> Column:
     """Intervals (first word, word after the last) of a pattern's matches, which begin after a space and end before one."""
     rest = F.split(words, pattern, -1)
     found = F.regexp_extract_all(words, pattern, F.lit(0))
-    # each match begins after the words of all pieces and matches before it
-    steps = F.transform(found, lambda m, i: F.struct((_spaces(F.element_at(rest, i + 1)) + F.when(i == 0, -1).otherwise(0)).alias("gap"), (_spaces(m) + 1).alias("size")))
+    # each match begins after the words of all pieces and matches before it; a piece has a space more than words
+    steps = F.transform(found, lambda m, i: F.struct((_spaces(F.element_at(rest, i + 1)) - 1).alias("gap"), (_spaces(m) + 1).alias("size")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
