@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_contracts import WORD, frame, lower, texts
 
 from maskwright.llm import queries as llm
-from maskwright.llm.license_scan import RULES, license_scan
+from maskwright.llm.license_scan import BASE, RULES, license_scan
 from maskwright.llm.secret_scan import ALPHABETS, _candidate, secret_scan
 from maskwright.llm.sp_codec import decode, encode, round_trip
 from maskwright.llm.substring_dedup import MIN_WORDS, RUN, substring_dedup
@@ -114,6 +114,8 @@ def test_license_detections_against_plain_python(spark):
     for i, t in enumerate(said):
         words = WORD.findall(lower(t or ""))
         line = f" {' '.join(words)} "
+        base = [(label, k, k + len(p.split())) for p, label in BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        assert sorted((x["label"], x["a"], x["b"]) for x in got[i]["base"]) == sorted(base), t
         hits = []
         for nth, r in enumerate(RULES):
             if r.keyword in words:
