@@ -2,9 +2,11 @@
 
 A text is cut into sentences: after a line's end, and after `.`, `!` or `?`
 before white space; a sentence of over LONG words is cut again before words
-picked by their hash, so equal passages are cut alike wherever they stand. From
-every sentence on, the shortest run of at least RUN sentences and MIN_WORDS
-words is hashed (128 bits, of lower-case words). Runs are joined over the whole
+picked by their hash, so equal passages are cut alike wherever they stand. The
+shortest run of at least RUN sentences and MIN_WORDS words that begins at each
+sentence, and the shortest that ends at each, is hashed (128 bits, of lower-case
+words). Each repeated run of sentences, however long, is the union of such runs
+within it, so it is found to its ends. Runs are joined over the whole
 corpus by hash; of equal runs the first, by document id and place, stays, and
 sentences covered by any other are removed. The first of each run is found
 with pre-aggregated minima, and runs meet it in a join whose partitions can be
@@ -63,13 +65,18 @@ class Sentences:
         self.rows = np.searchsorted(self.begin, offs)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of each run: its text, first sentence and end (numbered in the text), and two hashes."""
+        """Of each run: its text, first sentence and end (numbered in the text), and two hashes. A run begins at a sentence with
+        words: with an empty one before them the same words would be their own repeat."""
         n = len(self.begin) - 1
         at = np.arange(n)
         row = np.searchsorted(self.rows, at, "right") - 1
+        worded = np.diff(self.words) > 0
         end = np.maximum(at + RUN, np.searchsorted(self.words, self.words[:-1] + MIN_WORDS))
-        ok = (end <= self.rows[row + 1]) & (end <= n) if n else np.zeros(0, bool)
-        at, end, row = at[ok], end[ok], row[ok]
+        ok = (end <= self.rows[row + 1]) & worded if n else np.zeros(0, bool)
+        # the shortest that ends at each, where it isn't the shortest of its first sentence too
+        back = np.minimum(at + 1 - RUN, np.searchsorted(self.words, self.words[1:] - MIN_WORDS, "right") - 1)
+        more = (back >= self.rows[row]) & worded[back] & (end[back] != at + 1) if n else np.zeros(0, bool)
+        at, end, row = np.concatenate([at[ok], back[more]]), np.concatenate([end[ok], at[more] + 1]), np.concatenate([row[ok], row[more]])
         keys = []
         for base, inverse in _BASES:
             up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(self.hashes), base, np.uint64))])
