@@ -3,7 +3,9 @@
 A text is reduced to its lower-case words with one space between them, so a
 rule is a regex over words. Rules are ordered: each has a priority, a label,
 and a keyword, a word without which it can't match. A document is tested only
-for the rules whose keyword is among its words. Detections are intervals of
+for the rules whose keyword is among its words. A short form (`GPLv3`) can begin
+with several words (gpl, gplv, gpl3, gplv3), so it is a rule for each of them.
+Detections are intervals of
 words; one that lies within the interval of a detection of higher priority (or
 of the same priority and longer, or earlier) is suppressed. The base phrases
 are found apart from that and are never suppressed.
@@ -19,6 +21,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,6 +81,11 @@ FAMILIES = [
     ("cecill", "cecill(?: free software)? licen[cs]e", "cecill", "1 0|2 0|2 1"),
     ("qpl", "q public licen[cs]e", "qpl", "1 0"),
 ]
+#: What SPDX ids begin with, where it isn't the short name.
+SPDX = {
+    "apache": "apache", "ms-pl": "ms pl", "ms-rl": "ms rl", "python": "(?:python|psf)",
+    "bsd": "(?:0bsd|bsd(?: [1-4] clause)?)", "lppl": "lppl(?: 1 3[ac])?",
+}
 #: Creative Commons: code, and its words.
 CREATIVE = [
     ("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s?"),
@@ -115,6 +123,18 @@ PHRASES = [
 ]
 
 
+def _short_forms(short: str, versions: str) -> list[tuple[str, str]]:
+    """First word and pattern of `{short} ?v? ?(?:{versions})(?: or later| only)?`, for each word it can begin with."""
+    tail = "(?: or later| only)?"
+    out = [(short, f"{short} (?:v ?)?(?:{versions}){tail}"), (f"{short}v", f"{short}v (?:{versions}){tail}")]
+    for glued in (short, f"{short}v"):
+        majors: dict[str, list[str]] = {}
+        for v in versions.split("|"):
+            majors.setdefault(v.split(" ")[0], []).append(v[len(v.split(" ")[0]) :])
+        out += [(f"{glued}{m}", f"{glued}{m}(?:{'|'.join(rest)}){tail}") for m, rest in majors.items()]
+    return out
+
+
 def rules() -> list[Rule]:
     """All rules in order; over three hundred."""
     out = []
@@ -125,11 +145,13 @@ def rules() -> list[Rule]:
         later = " (?:or (?:at your option )?(?:any )?later(?: version)?)"
         for verb in ("licensed", "released", "distributed", "available", "provided", "published"):
             out.append(Rule(10, label, verb, f"{verb} under (?:the )?(?:terms of (?:the )?)?{name}(?: ?{ver})?(?:{later})?", 0.99))
-        out.append(Rule(20, label, word, f"{name}{ver}{later}", 0.97))
-        out.append(Rule(25, label, word, f"{name}{ver}", 0.95))
+        # a version can be joined to the name's last word, which is the keyword of this one
+        for w in (word, "unlicense1") if label == "unlicense" else (word,):
+            out.append(Rule(20, label, w, f"{name}{ver}{later}", 0.97))
+            out.append(Rule(25, label, w, f"{name}{ver}", 0.95))
         out.append(Rule(30, label, word, name, 0.9))
-        out.append(Rule(15, label, "spdx", f"spdx license identifier {short}(?: (?:{versions}))?(?: (?:only|or later))?", 1.0))
-        out.append(Rule(40, label, short, f"{short} ?v? ?(?:{versions})(?: or later| only)?", 0.8))
+        out.append(Rule(15, label, "spdx", f"spdx license identifier {SPDX.get(label, short)}(?: (?:{versions}))?(?: (?:only|or later))?", 1.0))
+        out += [Rule(40, label, word, pattern, 0.8) for word, pattern in _short_forms(short, versions)]
     for code, words in CREATIVE:
         parts = code.replace("-", " ")
         for ver in ("1 0", "2 0", "2 5", "3 0", "4 0"):
@@ -186,7 +208,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = columns_only(docs, **{id_col: "bigint", text_col: "string"})
     df = src.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
     keywords = sorted({r.keyword for r in ordered} | {"license", "cc"})
-    gate = _whole("|".join(keywords))
+    # short forms are many: those that differ only after their letters are asked for at once
+    glued = sorted({m[1] for k in keywords if (m := re.fullmatch("([a-z]+?)v?[0-9]", k)) and m[1] in keywords})
+    plain = [k for k in keywords if not re.fullmatch(f"(?:{'|'.join(glued) or '-'})(?:v?[0-9]|v)?", k)]
+    gate = _whole("|".join([*plain, *([f"(?:{'|'.join(glued)})(?:v?[0-9]|v)?"] if glued else [])]))
     df = df.withColumn("keys", F.array_distinct(F.regexp_extract_all("w", F.lit(gate), F.lit(0))))
     n_words = F.when(F.col("w") == "  ", 0).otherwise(_spaces(F.col("w")) - 1)
     base = F.concat(*(_base_places(phrase, label) for phrase, label in BASE.items()))
