@@ -1,8 +1,9 @@
 """Secret scan with a randomness test battery, in DataFrame functions only.
 
 Three base patterns (assignments, access keys, hex runs) give spans outright.
-Besides, every long run of code characters is a candidate: its encoding (hex,
-base32, base36, base62, base64) is inferred, and under the hypothesis that its
+Besides, every long run of code characters is a candidate: its encoding, the
+smallest alphabet that it is in (decimal, hex, letters of one case or of both,
+base32, base36, base62, base64), is inferred, and under the hypothesis that its
 characters are drawn uniformly from that alphabet three tests give p-values:
 chi-squared uniformity, Wald-Wolfowitz runs about the middle of the alphabet,
 and serial correlation. Three times the smallest is the candidate's p.
@@ -38,7 +39,7 @@ KINDS = ["assign", "access", "hex", "random"]
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ALPHABETS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base36": LOWER + DIGITS, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/"}
+ALPHABETS = {"decimal": DIGITS, "hex": DIGITS + "abcdef", "lower": LOWER, "upper": UPPER, "letters": UPPER + LOWER, "base32": UPPER + "234567", "base36": LOWER + DIGITS, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/"}
 LENGTHS = [24, 32, 48, 80]
 BINS = 100
 FALSE_SHARE = 0.05
@@ -75,11 +76,12 @@ def _tail(z: Column) -> Column:
 
 
 def _encoding(s: Column) -> Column:
-    """The smallest alphabet that a string can be in; null if it has no digit, or nothing but digits."""
-    mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-    cases = F.when(s.rlike("^[0-9a-f]+$") | s.rlike("^[0-9A-F]+$"), "hex").when(s.rlike("^[A-Z2-7]+$"), "base32")
-    cases = cases.when(s.rlike("^[a-z0-9]+$") | s.rlike("^[A-Z0-9]+$"), "base36").when(s.rlike("^[A-Za-z0-9]+$"), "base62")
-    return F.when(mixed, cases.otherwise("base64"))
+    """The smallest alphabet that a string can be in. A string without digits, or of nothing else, is one of a smaller alphabet:
+    given that it has none, a random string of the larger one is uniform in the smaller."""
+    cases = F.when(s.rlike("^[0-9]+$"), "decimal").when(s.rlike("^[0-9a-f]+$") | s.rlike("^[0-9A-F]+$"), "hex")
+    cases = cases.when(s.rlike("^[a-z]+$"), "lower").when(s.rlike("^[A-Z]+$"), "upper").when(s.rlike("^[A-Z2-7]+$"), "base32")
+    cases = cases.when(s.rlike("^[a-z0-9]+$") | s.rlike("^[A-Z0-9]+$"), "base36").when(s.rlike("^[A-Za-z]+$"), "letters").when(s.rlike("^[A-Za-z0-9]+$"), "base62")
+    return cases.otherwise("base64")
 
 
 def _tested(s: Column, enc: str) -> Column:
@@ -139,7 +141,7 @@ def _candidate(text: Column) -> Column:
         group = F.array_position(F.array(*map(F.lit, encs)), x["enc"]).cast("int") * 10 + _length_class(F.length(s))
         return F.struct(x["a"].alias("a"), x["b"].alias("b"), group.alias("grp"), p.alias("p"))
 
-    return F.transform(F.filter(F.transform(spans, look), lambda x: x["enc"].isNotNull()), test)
+    return F.transform(F.transform(spans, look), test)
 
 
 def thresholds(found: DataFrame, share: float = FALSE_SHARE) -> dict[int, float]:
