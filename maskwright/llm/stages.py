@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import lang_ppm, sp_codec
-from .common import columns_only
+from .common import columns_only, stored
 from .decontam import decontaminate
 from .exact_dedup import exact_dedup, normalised
 from .near_dedup import near_duplicates
@@ -46,10 +46,11 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that aren't contaminated with benchmark items."""
-    docs = documents(docs)
-    found = decontaminate(docs, items).filter("contaminated").select(F.col("doc_id").alias("c_id"))
-    return docs.join(found.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(found["c_id"]), "left_anti")
+    """Documents that aren't contaminated with benchmark items. Each row has its own verdict, by a stored row key, as ids can be
+    null or repeated."""
+    keyed, _ = stored(documents(docs).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = decontaminate(keyed, items, id_col="row_key").filter("contaminated").select(F.col("doc_id").alias("row_key"))
+    return documents(keyed.join(found.hint("shuffle_hash"), "row_key", "left_anti"))
 
 
 def as_pieces(docs: DataFrame, model_path: str) -> DataFrame:
