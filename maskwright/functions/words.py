@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from .patterns import AUDIT_STOPWORDS
 
 STOPWORDS = frozenset(AUDIT_STOPWORDS)
 SEGMENTS = STOPWORDS | {f"{w}S" for w in STOPWORDS}
 SHORTEST, LONG, WHOLE = 2, 4, 6
+#: A word, and the possessive and punctuation that don't belong to it.
+WORD = re.compile(r"(?P<core>.*?)(?:'S)?[.,:'\-]*", re.DOTALL)
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -25,7 +28,12 @@ def made_of_stopwords(word: str) -> bool:
 
 
 @functools.lru_cache(maxsize=100_000)
-def significant(word: str) -> bool:
-    """Whether a word in capitals says more than form vocabulary does."""
-    bare = word.rstrip(".,:'-").removesuffix("'S")
-    return len(bare) > 1 and bare not in STOPWORDS and not made_of_stopwords(bare.replace("'", ""))
+def form_word(word: str) -> bool:
+    """Whether a word in capitals is form vocabulary, or only a letter."""
+    core = WORD.fullmatch(word)["core"]
+    return len(core) < 2 or core in STOPWORDS or made_of_stopwords(core.replace("'", ""))
+
+
+def telling(words: list[str]) -> list[int]:
+    """Places of the words that say more than form vocabulary does."""
+    return [i for i, w in enumerate(words) if not form_word(w)]

@@ -14,6 +14,7 @@ functions, for the text alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -22,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CATEGORIES, LOOKALIKE, PREFILTER, RULES, SHADOW_KINDS, Rule, compiled, for_java
-from .dictionary import Entry, NameParts
+from .dictionary import Entry, NameParts, entry_keys
+from .keys import SHIPPED, Filed, meet, words_column
 
 PRESET, LISTED, SPLIT, PATTERN, SHADOWED, SWEPT = range(6)
+#: Keys of entries that are looked for in DataFrame functions before a line goes to Python; of more, every line does.
+NATIVE_KEYS = 2000
 HIT = "struct<phase:int,ord:int,reason:string,kind:string,original:string,value:string,start:int,end:int>"
 PIECE = "struct<lit:string,hit:int>"
 FOLDED = f"doc_ord bigint, line_no int, line string, is_ocr boolean, pieces array<{PIECE}>, hits array<{HIT}>"
@@ -34,12 +38,12 @@ def placeholder(kind: str) -> str:
     return f"[{kind}-Z]"
 
 
+_BY_A_DIGIT = re.compile(rf"(?<=\d)[{''.join(LOOKALIKE)}]|[{''.join(LOOKALIKE)}](?=\d)")
+
+
 def shadow_text(s: str) -> str:
-    out = list(s)
-    for i, c in enumerate(s):
-        if c in LOOKALIKE and (s[i - 1 : i].isdigit() or s[i + 1 : i + 2].isdigit()):
-            out[i] = LOOKALIKE[c]
-    return "".join(out)
+    """functions.text.shadow of a line."""
+    return _BY_A_DIGIT.sub(lambda m: LOOKALIKE[m.group()], s)
 
 
 @dataclass
@@ -91,71 +95,135 @@ def spans_of(pattern: str, any_case: bool, ocr: bool, text: str) -> list[tuple[i
     return [m.span(group) for m in rx.finditer(text)]
 
 
+def _steps(untouched: str, ocr: bool, entries: Sequence[tuple[int, Entry]], names: Sequence[NameParts], sweeps: Sequence[tuple[str, str, str]]) -> Iterator[tuple]:
+    """What is replaced on a line, in order: (pattern, any_case, loosened, kind, reason, phase, ord, value, shadowed, unless)."""
+    for n, e in entries:
+        yield e.pattern, e.any_case, ocr, CATEGORIES[e.category], f"[LIST:{e.category}]", LISTED, n, e.canonical, False, None
+    present = [p for p in names if p.both_in(untouched, ocr)]
+    for n, (p, side) in enumerate([(p, side) for side in (0, 1) for p in present]):
+        yield p.patterns[side], True, ocr, "NAME", "[LIST:name]", SPLIT, n, p.canonical, False, None
+    asked = [(n, r) for n, r in enumerate(RULES) if (ocr or not r.ocr_only) and (r.gate is None or compiled(r.gate, True, ocr).search(untouched))]
+    for n, r in asked:
+        yield r.pattern, r.any_case, ocr, r.kind, r.reason, PATTERN, n, None, False, r.unless
+    for n, r in asked if ocr else ():
+        if r.kind in SHADOW_KINDS:
+            yield r.pattern, r.any_case, False, r.kind, f"[PATTERN:{r.kind}:OCR]", SHADOWED, n, None, True, None
+    for n, (kind, value, pattern) in enumerate(sweeps):
+        yield pattern, True, ocr, kind, f"[SWEEP:{kind}]", SWEPT, n, value, False, None
+
+
 def fold_line(
-    text: str, ocr: bool = False, entries: Sequence[Entry] = (), names: Sequence[NameParts] = (), sweeps: Sequence[tuple[str, str, str]] = (), presets: Sequence[tuple[int, int, str]] = (),
+    text: str, ocr: bool = False, entries: Sequence[Entry | tuple[int, Entry]] = (), names: Sequence[NameParts] = (), sweeps: Sequence[tuple[str, str, str]] = (), presets: Sequence[tuple[int, int, str]] = (),
 ) -> Line:
-    """Fold everything over one line. sweeps: (kind, value, pattern); presets: (start, end, key of the signer)."""
+    """Fold everything over one line. entries: all, or some with their numbers; sweeps: (kind, value, pattern); presets: (start,
+    end, key of the signer)."""
     line = Line(text)
     for n, (a, b, key) in enumerate(sorted(presets, reverse=True)):
         line.replace([(a, b)], "SIGNATURE", "[SIGNATURE]", PRESET, len(presets) - 1 - n, value=key, place=False)
         line.hits[-1]["original"] = text[a:b].strip()
-    for n, e in enumerate(entries):
-        line.replace(spans_of(e.pattern, e.any_case, ocr, line.text), CATEGORIES[e.category], f"[LIST:{e.category}]", LISTED, n, value=e.canonical)
-    present = [p for p in names if p.both_in(text, ocr)]
-    for side in (0, 1):
-        for n, p in enumerate(present):
-            line.replace(spans_of(p.patterns[side], True, ocr, line.text), "NAME", "[LIST:name]", SPLIT, side * len(present) + n, value=p.canonical)
-    gated = [r.gate is None or compiled(r.gate, True, ocr).search(text) is not None for r in RULES]
-    for n, r in enumerate(RULES):
-        if gated[n] and (ocr or not r.ocr_only) and not (r.unless and compiled(r.unless, True, ocr).search(line.text)):
-            line.replace(spans_of(r.pattern, r.any_case, ocr, line.text), r.kind, r.reason, PATTERN, n)
-    if ocr:
-        for n, r in enumerate(RULES):
-            if r.kind in SHADOW_KINDS and gated[n]:
-                read = shadow_text(line.text)
-                if read == line.text:
-                    break
-                line.replace(spans_of(r.pattern, r.any_case, False, read), r.kind, f"[PATTERN:{r.kind}:OCR]", SHADOWED, n, seen=read)
-    for n, (kind, value, pattern) in enumerate(sweeps):
-        line.replace(spans_of(pattern, True, ocr, line.text), kind, f"[SWEEP:{kind}]", SWEPT, n, value=value)
+    numbered = [e if isinstance(e, tuple) else (n, e) for n, e in enumerate(entries)]
+    for pattern, any_case, loose, kind, reason, phase, n, value, shadowed, unless in _steps(text, ocr, numbered, names, sweeps):
+        if unless and compiled(unless, True, ocr).search(line.text):
+            continue
+        read = shadow_text(line.text) if shadowed else line.text
+        if not shadowed or read != line.text:
+            line.replace(spans_of(pattern, any_case, loose, read), kind, reason, phase, n, value=value, seen=read if shadowed else None)
     return line
 
 
-def fold(lines: DataFrame, entries: Sequence[Entry] = (), names: Sequence[NameParts] = ()) -> DataFrame:
+@dataclass
+class Values:
+    """What a line may hold besides patterns: dictionary entries, split names and swept values, each filed by key. It goes to
+    every task, so there are at most SHIPPED of each; more meet the lines in a join instead (listed, sweeps as columns)."""
+
+    entries: list[Entry] = field(default_factory=list)
+    names: list[NameParts] = field(default_factory=list)
+    sweeps: list[tuple[str, str, str]] = field(default_factory=list)
+    sweep_keys: list[list[list[str]]] = field(default_factory=list)
+
+    def file(self) -> None:
+        """Once in each Python worker."""
+        if hasattr(self, "by_entry"):
+            return
+        self.by_entry = Filed([entry_keys(e, False) for e in self.entries], [entry_keys(e, True) for e in self.entries])
+        self.by_name = Filed(*[[p.keys() for p in self.names]] * 2)
+        self.by_sweep = Filed([k[0] for k in self.sweep_keys], [k[1] for k in self.sweep_keys])
+
+    def on(self, line: str, ocr: bool) -> tuple[list[tuple[int, Entry]], list[NameParts], list[tuple[str, str, str]]]:
+        return [(n, self.entries[n]) for n in self.by_entry.of(line, ocr)], [self.names[n] for n in self.by_name.of(line, ocr)], [self.sweeps[n] for n in self.by_sweep.of(line, ocr)]
+
+    def words(self) -> set[str] | None:
+        """The words and numbers of which a strict line that holds an entry or a name has one; None if every line must be asked."""
+        keys = [k for k in (*(entry_keys(e, False) for e in self.entries), *(p.keys() for p in self.names))]
+        return None if None in keys else {k for ks in keys for k in ks}
+
+
+def may_hold(line: Column, ocr: Column, values: Values) -> Column:
+    """Whether a line needs to be asked for entries or names."""
+    if not values.entries and not values.names:
+        return F.lit(False)
+    words = values.words()
+    if words is None or len(words) > NATIVE_KEYS:
+        return F.lit(True)
+    plain, numbers = [w for w in words if w[0] != "#"], [w[1:] for w in words if w[0] == "#"]
+    told = F.lit(False)
+    if plain:
+        told = told | F.exists(words_column(line), lambda w: w.isin(*plain))
+    if numbers:
+        told = told | F.exists(F.regexp_extract_all(line, F.lit(r"(?U)\d+"), F.lit(0)), lambda d: d.isin(*numbers))
+    return ocr | told
+
+
+def with_listed(lines: DataFrame, entries: Sequence[Entry], names: Sequence[NameParts]) -> DataFrame:
+    """Lines with the entries and names that they may hold, as columns listed and split: for dictionaries too large to go to
+    every task."""
+    spark = lines.sparkSession
+    rows = [(k if k is not None else "", ocr, n, e.category, e.canonical, e.variant, e.pattern, e.any_case) for n, e in enumerate(entries) for ocr in (False, True) for k in entry_keys(e, ocr) or [None]]
+    parts = [(k if k is not None else "", ocr, n, p.canonical, *p.patterns) for n, p in enumerate(names) for ocr in (False, True) for k in p.keys() or [None]]
+    offers = spark.createDataFrame(rows, "key string, on_ocr boolean, ord int, category string, canonical string, variant string, pattern string, any_case boolean")
+    splits = spark.createDataFrame(parts, "key string, on_ocr boolean, ord int, canonical string, first string, last string")
+    out = meet(lines, offers, ["ord", "category", "canonical", "variant", "pattern", "any_case"], "listed")
+    return meet(out, splits, ["ord", "canonical", "first", "last"], "split")
+
+
+def fold(lines: DataFrame, entries: Sequence[Entry] = (), names: Sequence[NameParts] = (), values: Values | None = None) -> DataFrame:
     """Fold lines (doc_ord, line_no, line, is_ocr, and if there are any: sweeps, presets): gives FOLDED.
 
-    Without a dictionary, lines that no rule can touch don't go to Python at all.
+    Lines that nothing can touch don't go to Python at all. values: entries, names and swept values that go to every task.
     """
     spark = lines.sparkSession
     extra = [c for c in ("sweeps", "presets") if c in lines.columns]
-    touched = F.col("line").rlike(PREFILTER)
+    values = values or Values()
+    shaped = lines.select(F.col("doc_ord").cast("bigint").alias("doc_ord"), F.col("line_no").cast("int").alias("line_no"), "line", F.coalesce("is_ocr", F.lit(False)).alias("is_ocr"), *extra)
+    live = shaped.filter("line is not null")
+    if len(entries) + len(names) <= SHIPPED:
+        values = Values([*values.entries, *entries], [*values.names, *names], values.sweeps, values.sweep_keys)
+    else:
+        live, extra = with_listed(live, entries, names), [*extra, "listed", "split"]
+    touched = F.col("line").rlike(PREFILTER) | may_hold(F.col("line"), F.col("is_ocr"), values)
     for c in extra:
         touched = touched | (F.coalesce(F.size(c), F.lit(0)) > 0)
-    if entries or names:
-        touched = F.lit(True)
-    shipped = spark.sparkContext.broadcast((list(entries), list(names)))
+    shipped = spark.sparkContext.broadcast(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, parts = shipped.value
+        known = shipped.value
+        known.file()
         for b in batches:
             rows = b.to_pydict()
-            n = b.num_rows
-            more = {c: rows.get(c) or [None] * n for c in ("sweeps", "presets")}
-            done = [
-                fold_line(rows["line"][i], bool(rows["is_ocr"][i]), listed, parts, [tuple(s.values()) for s in more["sweeps"][i] or ()], [tuple(p.values()) for p in more["presets"][i] or ()])
-                for i in range(n)
-            ]
+            done = []
+            for i, (line, ocr) in enumerate(zip(rows["line"], rows["is_ocr"], strict=True)):
+                own = lambda c: rows[c][i] or () if c in rows else ()  # noqa: B023, E731
+                listed, parts, swept = known.on(line, ocr)
+                listed = listed + [(e["ord"], Entry(*list(e.values())[1:])) for e in own("listed")]
+                parts = parts + [NameParts(p["canonical"], (p["first"], p["last"])) for p in own("split")]
+                done.append(fold_line(line, ocr, listed, parts, swept + [tuple(s.values()) for s in own("sweeps")], [tuple(p.values()) for p in own("presets")]))
             piece = pa.struct([("lit", pa.string()), ("hit", pa.int32())])
             hit = pa.struct([("phase", pa.int32()), ("ord", pa.int32()), *((c, pa.string()) for c in ("reason", "kind", "original", "value")), ("start", pa.int32()), ("end", pa.int32())])
             keep = [b.column(c) for c in ("doc_ord", "line_no", "line", "is_ocr")]
             cols = [*keep, pa.array([x.pieces() for x in done], pa.list_(piece)), pa.array([x.hits for x in done], pa.list_(hit))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_ord", "line_no", "line", "is_ocr", "pieces", "hits"])
 
-    shaped = lines.select(F.col("doc_ord").cast("bigint").alias("doc_ord"), F.col("line_no").cast("int").alias("line_no"), "line", F.coalesce("is_ocr", F.lit(False)).alias("is_ocr"), *extra)
-    live = shaped.filter("line is not null")
     folded = live.filter(touched).mapInArrow(run, FOLDED)
-    if entries or names:
-        return folded
     plain = live.filter(~touched).select(
         "doc_ord", "line_no", "line", "is_ocr", F.array(F.struct(F.col("line").alias("lit"), F.lit(None).cast("int").alias("hit"))).alias("pieces"), F.array().cast(f"array<{HIT}>").alias("hits")
     )

@@ -1,16 +1,17 @@
-"""A redaction run over a corpus: two passes, findings, audit, and what is kept.
+"""A redaction run over a corpus: candidates, two passes, findings, audit, and what is kept.
 
 Pass one finds values by pattern; pass two replaces each of them wherever else
-it stands, and numbers the tokens anew. Everything is lazy. The folded lines
-hold raw text, so they are stored only where the caller says (`store`), which
-a run over much data should do, as four results are read from them.
+it stands, and numbers the tokens anew. The folded lines, from which hits,
+tokens, rendered lines and the audit are read, are stored once in the shared
+folder; as they hold raw text, the folder is emptied when the driver ends, or by
+store.release().
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +19,33 @@ from pyspark.sql import functions as F
 from ..functions.patterns import CERT_TITLE, DOCUSIGN_ID, ESIGN_HEADER, SIG_LABEL, SIG_LABEL_STRICT, SIG_MENTION, for_java
 from ..operators import audit as auditing
 from ..operators import fold as folding
+from ..operators import mining
 from ..operators import sweep as sweeping
 from ..operators import tokens as numbering
-from ..operators.dictionary import Entry, name_parts
+from ..operators.dictionary import Entry, longest_first, make_entries, name_parts
+from ..sources.store import stored
 
 
 @dataclass(frozen=True)
 class RunConfig:
-    """What can be chosen for a run."""
+    """What can be chosen for a run.
+
+    sweep: replace found values everywhere. signatures: treat signature areas and stamps. ocr: use text from OCR where a
+    document has no text layer. flatten: take form field values into the text. keep_certificate: keep the pages of an
+    e-signed document's certificate. mine: look for candidate entries, and use them in the same run. preview: stop before
+    anything is written. pdf: make boxes for redacted pages. report: make the report. master: read the master list too.
+    store: a folder for the folded lines (else one below the shared folder)."""
 
     sweep: bool = True
     signatures: bool = True
+    ocr: bool = True
+    flatten: bool = True
     keep_certificate: bool = False
+    mine: bool = False
+    preview: bool = False
+    pdf: bool = True
+    report: bool = True
+    master: bool = True
     store: str | None = None
 
 
@@ -41,6 +57,8 @@ class Run:
     findings: DataFrame  # doc_ord, reason, original, token, n
     audit: DataFrame  # doc_ord, line_no, severity, reason
     sweeps: DataFrame | None
+    entries: tuple[Entry, ...] = ()
+    candidates: DataFrame | None = None
 
 
 def listed_ssns(entries: Sequence[Entry]) -> tuple[str, ...]:
@@ -48,28 +66,45 @@ def listed_ssns(entries: Sequence[Entry]) -> tuple[str, ...]:
     return tuple(sorted(d for d in digits if len(d) == 9))
 
 
-def redact(lines: DataFrame, entries: Sequence[Entry] = (), presets: DataFrame | None = None, regions: DataFrame | None = None, config: RunConfig | None = None) -> Run:
+def with_candidates(lines: DataFrame, entries: Sequence[Entry], seen: DataFrame | None = None) -> tuple[list[Entry], DataFrame]:
+    """The entries with the candidates that lines give, and those, stored. Candidates are as many as a person reads through."""
+    found, _ = stored(mining.suggest(lines, entries, seen), "candidates")
+    rows = found.orderBy("doc_ord", "line_no", "place").select("category", "value").collect()
+    return longest_first([*entries, *make_entries((r.category, r.value) for r in rows)]), found
+
+
+def redact(lines: DataFrame, entries: Sequence[Entry] = (), presets: DataFrame | None = None, regions: DataFrame | None = None, config: RunConfig | None = None, seen: DataFrame | None = None) -> Run:
     """lines: doc_ord, line_no, line, is_ocr. presets: doc_ord, line_no, start, end, key of text in signature regions;
-    regions: doc_ord, page_no, n, key of all regions, which are numbered before any line."""
+    regions: doc_ord, page_no, n, key of all regions, which are numbered before any line; seen: norm of listed values that are
+    no candidates again, active or commented out."""
     config = config or RunConfig()
     spark = lines.sparkSession
-    names, ssns = name_parts(entries), listed_ssns(entries)
     src = lines.select("doc_ord", "line_no", "line", "is_ocr")
-    if presets is not None:
+    if not config.ocr:
+        src = src.filter("not coalesce(is_ocr, false)")
+    candidates = None
+    if config.mine:
+        entries, candidates = with_candidates(src, entries, seen)
+    names, ssns = name_parts(entries), listed_ssns(entries)
+    if presets is not None and config.signatures:
         rows = presets.groupBy("doc_ord", "line_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "key"))).alias("presets"))
         src = src.join(rows, ["doc_ord", "line_no"], "left")
-    sweeps, known = None, None
+    sweeps, known, values = None, None, None
     if config.sweep:
-        first = numbering.explode_hits(folding.fold(src, entries, names))
+        first, _ = stored(numbering.explode_hits(folding.fold(src, entries, names)), "pass1")
         sweeps = sweeping.sweep_values(first, ssns)
         known = first.filter(F.col("reason").startswith("[PATTERN:"))
-        src = sweeping.with_sweeps(src, sweeps)
-    folded = folding.fold(src, entries, names)
+        values = sweeping.as_values(sweeps)
+        if values is None:
+            src = sweeping.with_sweeps(src, sweeps)
+    folded = folding.fold(src, entries, names, values)
     if config.store:
         folded.write.mode("overwrite").parquet(config.store)
         folded = spark.read.schema(folded.schema).parquet(config.store)
+    else:
+        folded, _ = stored(folded, "folded")
     hits = numbering.with_ssn_alias(numbering.explode_hits(folded), numbering.full_ssns(spark, ssns, known))
-    blocks = region_hits(regions) if regions is not None else None
+    blocks = region_hits(regions) if regions is not None and config.signatures else None
     tokens = numbering.token_table(hits.unionByName(blocks) if blocks is not None else hits)
     named = numbering.with_tokens(hits, tokens)
     counted = named
@@ -77,10 +112,26 @@ def redact(lines: DataFrame, entries: Sequence[Entry] = (), presets: DataFrame |
         bare = blocks.join(hits.filter("phase = 0").select("doc_ord", "norm").distinct(), ["doc_ord", "norm"], "left_anti")
         counted = named.unionByName(numbering.with_tokens(bare, tokens), allowMissingColumns=True)
     left = numbering.inert(folded)
-    if sweeps is not None:
+    if sweeps is not None and values is None:
         left = sweeping.with_sweeps(left, sweeps)
-    audited = auditing.audit(left, entries, names, config.signatures)
-    return Run(numbering.render(folded, named), named, tokens, numbering.findings(counted), audited, sweeps)
+    audited = auditing.audit(left, entries, names, config.signatures, values)
+    return Run(numbering.render(folded, named), named, tokens, numbering.findings(counted), audited, sweeps, tuple(entries), candidates)
+
+
+def preview(lines: DataFrame, entries: Sequence[Entry] = (), config: RunConfig | None = None) -> DataFrame:
+    """The findings that a run would make; nothing is written for keeps."""
+    return redact(lines, entries, config=replace(config or RunConfig(), preview=True)).findings
+
+
+def finish(done: Run, path: str, config: RunConfig | None = None, names: DataFrame | None = None) -> DataFrame | None:
+    """Write the extracts that pass the run's audit under path, and give value-free counts of the audit; with preview, nothing is
+    written and nothing given. names: doc_ord, name."""
+    from ..sources.files import extracts, write_extracts
+
+    if (config or RunConfig()).preview:
+        return None
+    write_extracts(extracts(done.lines, names), done.audit, path)
+    return auditing.audit_counts(done.audit)
 
 
 def region_hits(regions: DataFrame) -> DataFrame:
@@ -115,8 +166,11 @@ def certificate_pages(page_texts: DataFrame) -> DataFrame:
     return titled.groupBy("doc_ord").agg(F.min("page_no").alias("first_page"))
 
 
-def without_certificate(pages: DataFrame, page_texts: DataFrame) -> DataFrame:
-    """Rows of pages (doc_ord, page_no, ...) without an e-signed document's certificate and all pages after it."""
+def without_certificate(pages: DataFrame, page_texts: DataFrame, config: RunConfig | None = None) -> DataFrame:
+    """Rows of pages (doc_ord, page_no, ...) without an e-signed document's certificate and all pages after it, unless it is to
+    be kept."""
+    if config is not None and config.keep_certificate:
+        return pages
     cut = certificate_pages(page_texts).join(esigned(page_texts).filter("esigned"), "doc_ord", "left_semi")
     return pages.join(cut, "doc_ord", "left").filter("first_page is null or page_no < first_page").drop("first_page")
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import OCR_NOTE
 from ..functions.text import split_lines
 from ..operators.audit import failing_documents
 from .lines import join_lines
+from .store import numbered
 
 LIST_NAME = "redaction_list.txt"
 
@@ -22,10 +22,9 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """doc_ord (from 1, by path), path, content of binary files. Only the paths are ordered in one place."""
+    """doc_ord (from 1, by path), path, content of binary files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    order = files.select("path").withColumn("doc_ord", F.row_number().over(W.orderBy("path")).cast("bigint"))
-    return files.join(order, "path").select("doc_ord", "path", "content")
+    return files.join(numbered(files.select("path"), ["path"], "doc_ord"), "path").select("doc_ord", "path", "content")
 
 
 def read_extracts(spark: SparkSession, path: str) -> DataFrame:
