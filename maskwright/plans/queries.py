@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_value, shadow, token_value
 from ..operators import audit, dictionary, layout, mining, sweep, tokens
 from ..operators.fold import fold, native_text
-from ..sources.lines import explode_lines, join_lines, missing_values, read_table, route, stitch_pages, text_layer
-from . import report, run, statements
+from ..sources.lines import explode_lines, join_lines, missing_values, read_table, route, stitch_pages, text_layer, with_fields
+from ..sources.store import numbered
+from . import notes, report, run, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,10 +445,11 @@ def signature_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.signature_regions(*_stamps(spark, sf_dir)).select("doc_ord", F.col("n").cast("bigint").alias("n"), *layout.BOX, "signer", "no_id")
 
 
-@query("""select s_suppkey as doc_ord, cast(3 as bigint) as strict_labels_and_ids, cast(1 as bigint) as images from supplier""")
+@query("""select s_suppkey as doc_ord, 2::bigint as strict_labels, 2::bigint as labels, 1::bigint as signer_ids, 2::bigint as mentions, 46::bigint as n_chars, 1::bigint as images, 0::bigint as drawings, '130x40' as small_images from supplier""")
 def inspect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = run.inspect(*_stamps(spark, sf_dir))
-    return found.select("doc_ord", (F.col("strict_labels") + F.col("signer_ids")).cast("bigint").alias("strict_labels_and_ids"), "images")
+    n = [F.col(c).cast("bigint").alias(c) for c in ("strict_labels", "labels", "signer_ids", "mentions", "n_chars", "images", "drawings")]
+    return found.select("doc_ord", *n, F.array_join("small_images", ",").alias("small_images"))
 
 
 @query("""select s_suppkey as doc_ord, 106.0 as x0, 211.0 as y0, 254.0 as x1, 259.0 as y1 from supplier""")
@@ -505,16 +507,250 @@ def ocr_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), layout.ocr_scale(F.col("p_size") * 100.0, F.lit(612.0)).alias("scale"))
 
 
-@query()
+# ------------------------------------------------------------- what was not asked yet
+
+
+@query("""with k as (select c_custkey as k from customer),
+one as (select 'name' as category, 'VALUE ' || (k % 40) as v, 0 as source, min(k) as line_no from k where k % 2 = 0 group by k % 40 union all
+  select case when k % 3 = 0 then 'acct' else 'name' end, 'value  ' || (k % 40), 1, min(k) from k where k % 2 = 1 or k % 5 = 0 group by k % 40, k % 3 = 0),
+r as (select *, upper(regexp_replace(v, ' +', ' ', 'g')) as norm, row_number() over (partition by category, upper(regexp_replace(v, ' +', ' ', 'g')) order by source, line_no) as n from one)
+select category, v as value, source, line_no from r where n = 1""")
+def list_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("line_no"))
+    own = k.filter("line_no % 2 = 0").withColumn("line", F.expr("'name: VALUE ' || cast(line_no % 40 as string)"))
+    other = k.filter("line_no % 2 = 1 or line_no % 5 = 0").withColumn("line", F.expr("case when line_no % 3 = 0 then 'acct: ' else 'name: ' end || 'value  ' || cast(line_no % 40 as string)"))
+    return dictionary.merged_lists(*map(dictionary.list_rows, (own, other)))
+
+
+@query("select distinct upper('value ' || (c_custkey % 30)) as norm from customer")
+def list_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = "case when k % 2 = 0 then '### ' else '' end || 'name:  value   ' || cast(k % 30 as string)"
+    return dictionary.seen_values(dictionary.list_rows(_repeated(spark, sf_dir, line).select(F.col("doc_ord").alias("line_no"), "line")))
+
+
+@query("select c_custkey as line_no from customer where c_custkey % 4 = 1")
+def list_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = "case k % 4 when 0 then 'name: A B' when 1 then 'trust: A B' when 2 then '# trust: A B' else 'A B' end"
+    return dictionary.unknown_prefixes(dictionary.list_rows(_repeated(spark, sf_dir, line).select(F.col("doc_ord").alias("line_no"), "line")))
+
+
+@query("""select k as doc_ord, cast(4 as bigint) as line_no, '[PATTERN:DOB]' as reason from (select c_custkey as k from customer) where k % 2 = 0
+union all select k, 3, '[LIST:name]' from (select c_custkey as k from customer) where k % 3 = 0""")
+def audit_of_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text without its spaces fails by the rules for OCR only, which an extract's header calls for; header lines never fail."""
+    text = "'# 123-45-6789 ' || case when k % 2 = 0 then 'OCR-DERIVED' else '' end || '\\n\\n' || case when k % 3 = 0 then 'for JOHN SAMPLE' else 'for nobody' end || '\\nDATEOFBIRTH:1/2/1980'"
+    made = _repeated(spark, sf_dir, text).select("doc_ord", F.col("line").alias("text"))
+    found = audit.audit_extracts(made, dictionary.make_entries([("name", "JOHN SAMPLE")]))
+    return found.filter("severity = 'FAIL'").select("doc_ord", F.col("line_no").cast("bigint").alias("line_no"), "reason")
+
+
+@query("""select 'FAIL' as severity, '[PATTERN:EIN]' as reason, count(*) as n_lines, count(*) as n_docs from customer where c_custkey % 3 = 0
+union all select 'WARN', 'possible unredacted name', count(*), count(*) from customer where c_custkey % 3 = 1""")
+def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = "case k % 3 when 0 then 'EIN 12-3456789' when 1 then 'PAYER NAME: JANE SAMPLE' else 'PAYER NAME: [NAME-1]' end"
+    return audit.audit_counts(audit.audit(_repeated(spark, sf_dir, line)))
+
+
+@query("""select c_custkey as doc_ord, c_custkey % 4 in (0, 3) as told from customer""")
+def glued_form_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On lines from OCR, form words run together aren't names; a name run together is."""
+    line = "case k % 4 when 0 then 'RECIPIENT NAME JANESAMPLE' when 1 then 'RECIPIENT NAME PAYERSADDRESS' when 2 then 'RECIPIENT NAME: FILINGSTATUS' else 'EMPLOYEE: JOHNQPUBLIC' end"
+    lines = _repeated(spark, sf_dir, line).withColumn("is_ocr", F.lit(True))
+    told = audit.audit(lines).filter("severity = 'WARN'").select("doc_ord", F.lit(True).alias("told"))
+    return lines.join(told, "doc_ord", "left").select("doc_ord", F.coalesce("told", F.lit(False)).alias("told"))
+
+
+@query("""select c_custkey as k, case c_custkey % 6 when 0 then 'DATE 03/15/1980' when 1 then 'NUMBER A1234567' when 2 then 'CODE [ACCT-Z]' when 3 then 'FORM 1099 for SAMPLETOWN, CA 90000 filers' when 4 then 'SCHEDULE CA 90000' else 'ABCDEF12-0A0A-1B2C-3D4E-ABCDEFABCDEF' end as text from customer""")
+def gates_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values whose rule asks for a context, or is barred by form words, stay without it (nine digits are an account then)."""
+    line = "case k % 6 when 0 then 'DATE 03/15/1980' when 1 then 'NUMBER A1234567' when 2 then 'CODE 121099999' when 3 then 'FORM 1099 for SAMPLETOWN, CA 90000 filers' when 4 then 'SCHEDULE CA 90000' else 'ABCDEF12-0A0A-1B2C-3D4E-ABCDEFABCDEF' end"
+    return tokens.inert(fold(_repeated(spark, sf_dir, line))).select(F.col("doc_ord").alias("k"), F.col("line").alias("text"))
+
+
+@query("""select c_custkey as k, case when c_custkey % 2 = 0 then '[ACCT-Z] [ADDR-Z]' else 'Account No. [ACCT-Z] [ADDR-Z]' end as text, case when c_custkey % 2 = 0 then 'city_line_again' else 'city_edge_again' end as rule from customer""")
+def city_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A city that is alone on its line, or at its edge without a form word, only once an account number is gone."""
+    from ..functions.patterns import RULES
+
+    line = "case when k % 2 = 0 then '12345678 SAMPLETOWN CA 90000' else 'Account No. BOX-12345 SAMPLETOWN CA 90000' end"
+    folded = fold(_repeated(spark, sf_dir, line).withColumn("is_ocr", F.col("doc_ord") % 2 == 1))
+    names = F.array(*(F.lit(r.name) for r in RULES))
+    rule = F.element_at(F.transform(F.filter("hits", lambda h: h["kind"] == "ADDR"), lambda h: F.get(names, h["ord"])), 1)
+    return tokens.inert(folded).join(folded.select("doc_ord", rule.alias("rule")), "doc_ord").select(F.col("doc_ord").alias("k"), F.col("line").alias("text"), "rule")
+
+
+@query("""select c_custkey as k, '[SIGNATURE-' || row_number() over (order by c_custkey) || '] and [SSN-' || row_number() over (order by c_custkey) || ']' as text from customer""")
+def preset_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of signature regions through a whole run; the regions are numbered before any line."""
+    lines = _repeated(spark, sf_dir, "'Jane S. and ' || lpad(cast(k as string), 9, '0') || ' SSN'").withColumn("line", F.concat(F.lit("Jane S. and 123-4"), F.substring(F.lpad(F.col("doc_ord").cast("string"), 5, "0"), 1, 1), F.lit("-"), F.substring(F.lpad(F.col("doc_ord").cast("string"), 5, "0"), 2, 4)))
+    presets = lines.select("doc_ord", "line_no", F.lit(0).alias("start"), F.lit(7).alias("end"), F.concat(F.lit("signer "), F.col("doc_ord").cast("string")).alias("key"))
+    regions = lines.select("doc_ord", F.lit(1).alias("page_no"), F.lit(0).alias("n"), F.concat(F.lit("signer "), F.col("doc_ord").cast("string")).alias("key"))
+    out = run.redact(lines, presets=presets, regions=regions, config=run.RunConfig(sweep=False))
+    return out.lines.select(F.col("doc_ord").alias("k"), F.col("redacted").alias("text"))
+
+
+@query("""select c_custkey as k, case when c_custkey % 2 = 0 then 'RECIPIENT NAME: [NAME-1]' else 'paid by [NAME-1] in cash' end as text from customer""")
+def mined_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that a run finds are used in the same run."""
+    lines = _repeated(spark, sf_dir, "case when k % 2 = 0 then 'RECIPIENT NAME: JANE SAMPLE' else 'paid by Jane  Sample in cash' end")
+    out = run.redact(lines, config=run.RunConfig(mine=True))
+    return out.lines.select(F.col("doc_ord").alias("k"), F.col("redacted").alias("text"))
+
+
+@query("""select o_orderkey as k, row_number() over (order by o_totalprice, o_orderkey) as nth from orders""")
+def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows numbered in an order over the whole table, range by range."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
+    return numbered(orders, ["o_totalprice", "k"], "nth").select("k", "nth")
+
+
+@query("""with l as (select l_orderkey as d, l_linenumber as p, l_partkey as v from lineitem), m as (select d, p, count(*) as n from l group by d, p)
+select d as doc_ord, p as page_no, (0)::bigint as page_line, 'text' as line from m union all
+select d, p, row_number() over (partition by d, p order by 'v' || lpad(v::varchar, 9, '0')), 'v' || lpad(v::varchar, 9, '0') from l""")
+def field_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_ord"), F.col("l_linenumber").alias("page_no"), F.concat(F.lit("v"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("value"))
+    pages = items.select("doc_ord", "page_no").distinct().select("doc_ord", "page_no", F.lit(0).alias("page_line"), F.lit("text").alias("line"))
+    return with_fields(pages, items)
+
+
+@query("select l_orderkey as doc_ord, l_returnflag as kind, count(*) as n from lineitem group by all")
+def field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.type_counts(read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_ord"), F.col("l_returnflag").alias("kind")))
+
+
+@query("""with g as (select l_orderkey as d, l_quantity / 2.0 as y from lineitem), s as (select *, lag(y) over (partition by d order by y) as b from g)
+select d as doc_ord, count(*) filter (where b is null or y - b > 1.0) as n_drawn from s group by d""")
+def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_ord"), F.lit(1).alias("page_no"), F.lit("x").alias("ch"), (F.col("l_quantity") / 2.0).alias("base"))
+    blank = items.withColumns({"ch": F.lit(" "), "base": F.lit(900.0)})
+    return layout.drawn_lines(items.unionByName(blank)).select("doc_ord", "n_drawn")
+
+
+def _uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a page of a line for each item; its three boxes' tops are apart by the item's number and half of it."""
+    items = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_ord"), F.lit(1).alias("page_no"), F.col("l_linenumber").alias("n"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("page_line"))
+    box = lambda i, dy: F.struct(F.lit(10.0 * i).alias("x0"), dy.cast("double").alias("y0"), F.lit(10.0 * i + 8).alias("x1"), (dy + 10.0).cast("double").alias("y1"))
+    none = F.lit(None).cast(layout.RECT)
+    boxes = F.array(box(0, F.lit(100.0)), box(1, 100.0 + F.col("n") / 2), none, box(3, 100.0 + F.col("n")))
+    return items.select("doc_ord", "page_no", "page_line", "n", F.lit("ab c").alias("line"), boxes.alias("boxes"))
+
+
+@query("""select l_orderkey as doc_ord, count(*) as n_lines, list_sort(list(l_linenumber::double))[cast(floor(count(*) / 2) as bigint) + 1] as middle, max(l_linenumber)::double as most from lineitem group by l_orderkey""")
+def spread_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_spread(_uneven(spark, sf_dir)).select("doc_ord", "n_lines", "middle", "most")
+
+
+@query("""select l_orderkey as doc_ord, 3 * count(*) as n_asked, count(*) + count(*) filter (where l_linenumber <= 4) + count(*) filter (where l_linenumber <= 2) as n_confirmed from lineitem group by l_orderkey""")
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs stand ten points high at 98 and 102: the first character of a line always lies on one, others as far as they are near."""
+    lines = _uneven(spark, sf_dir)
+    glyphs = lines.select("doc_ord", "page_no").distinct().select("doc_ord", "page_no", F.explode(F.array(*map(F.lit, (0.0, 10.0, 30.0)))).alias("x0"))
+    glyphs = glyphs.select("doc_ord", "page_no", F.lit("x").alias("ch"), "x0", F.lit(98.0).alias("y0"), (F.col("x0") + 8).alias("x1"), F.lit(107.0).alias("y1"))
+    return layout.positions_confirmed(lines, glyphs).select("doc_ord", "n_asked", "n_confirmed")
+
+
+@query("""select s_suppkey as doc_ord, cast(r as bigint) as line_no, 72.0 as x0, 138.0::double as x1, 'kept ' || r as text from supplier, unnest(generate_series(0, 2)) a(r)""")
+def text_under_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _placed(spark, sf_dir).select("doc_ord", "line_no", "page_no", "page_line", "boxes")
+    separators = lines.filter("line_no = 0").withColumns({"line_no": F.lit(9), "page_line": F.lit(None).cast("int")})
+    redacted = lines.unionByName(separators).select("doc_ord", "line_no", F.concat(F.lit("kept "), F.col("line_no").cast("string")).alias("redacted"))
+    found = layout.text_layer_rows(redacted, lines.unionByName(separators))
+    return found.select("doc_ord", F.col("line_no").cast("bigint").alias("line_no"), F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "text")
+
+
+@query("""select s_suppkey as doc_ord, cast(n as bigint) as n, case n when 0 then 0.0 else 100.0 end as x0, case n when 0 then 30.0 else 110.0 end as x1, case n when 0 then 'B' end as signer, n = 1 as no_id from supplier, unnest([0, 1]) t(n)""")
+def regions_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third box joins the first region through the second, and brings its signer; the fourth stands alone."""
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_ord"), F.lit(1).alias("page_no"))
+    rows = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(float(a)).alias("x0"), F.lit(0.0).alias("y0"), F.lit(float(b)).alias("x1"), F.lit(10.0).alias("y1"), F.lit(w).cast("string").alias("signer"), F.lit(no).alias("no_id")) for i, (a, b, w, no) in enumerate([(0, 10, None, False), (5, 20, "B", False), (15, 30, "C", False), (100, 110, None, True)])))
+    boxes = s.select("doc_ord", "page_no", F.explode(rows).alias("r")).select("doc_ord", "page_no", "r.*")
+    return layout.merged_regions(boxes).select("doc_ord", F.col("n").cast("bigint").alias("n"), "x0", "x1", "signer", "no_id")
+
+
+@query("""select s_suppkey as doc_ord, cast(page_line as bigint) as page_line, line from supplier, (values (0, 'AB'), (1, 'ZY')) t(page_line, line)""")
+def sideways_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sideways characters are a last line of their own; one flagged so but turned by noise alone stands in its line."""
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_ord"), F.lit(1).alias("page_no"))
+    cell = lambda ch, x, y, up, m: F.struct(F.lit(ch).alias("ch"), F.lit(x).alias("x0"), F.lit(y - 10).alias("y0"), F.lit(x + 6).alias("x1"), F.lit(y).alias("y1"), F.lit(10.0).alias("size"), F.lit(up).alias("upright"), F.array(*map(F.lit, m)).alias("matrix"))
+    cells = [cell("A", 10.0, 100.0, True, (1.0, 0.0, 0.0, 1.0)), cell("B", 16.0, 100.2, False, (1.0, 0.005, -0.005, 1.0)), cell("Z", 11.0, 50.0, False, (0.0, 1.0, -1.0, 0.0)), cell("Y", 17.0, 90.0, False, (0.0, 1.0, -1.0, 0.0))]
+    glyphs = s.select("doc_ord", "page_no", F.explode(F.array(*cells)).alias("c")).select("doc_ord", "page_no", "c.*")
+    return layout.line_text(layout.form_lines(glyphs)).select("doc_ord", F.col("page_line").cast("bigint").alias("page_line"), "line")
+
+
+@query("""select null::bigint as doc_ord, 'UNKNOWN LIST PREFIX' as code, 'line(s) 2, 5' as detail union all select null, 'LIST ENTRY NEVER MATCHED', 'acct: 1'
+union all select o, case when o % 3 = 1 then 'OCR APPLIED' else 'NEEDS OCR' end, '1 characters in the text layer' from (select o_orderkey as o from orders) where o % 3 > 0
+union all select o, 'CERTIFICATE DROPPED', 'pages 2-3' from (select o_orderkey as o from orders) where o % 5 = 0
+union all select o, 'ROTATION REMOVED', '2 page(s)' from (select o_orderkey as o from orders) where o % 5 = 1
+union all select o, 'FLATTENED', '1 field(s)' from (select o_orderkey as o from orders) where o % 5 = 2
+union all select o, 'FLATTEN INCOMPLETE', '4 value(s) missing' from (select o_orderkey as o from orders) where o % 5 = 3
+union all select o, 'SIGNATURE', 'page 2: label without an ID line' from (select o_orderkey as o from orders) where o % 5 = 4
+union all select o, 'SELF-CHECK FAILED', '1 line(s)' from (select o_orderkey as o from orders) where o % 7 = 0""")
+def run_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_ord"))
+    page = o.withColumn("line_no", F.lit(0))
+    long, short = F.lit("x" * 25), F.lit("  x ")
+    drawn = page.withColumn("line", F.when(F.col("doc_ord") % 3 == 0, long).otherwise(short))
+    read = page.withColumn("line", F.when(F.col("doc_ord") % 3 == 1, long).otherwise(short))
+    pages = o.withColumn("page_no", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    cert = F.when((F.col("doc_ord") % 5 == 0) & (F.col("page_no") == 2), "Certificate of Completion DocuSigned by: x").otherwise("text")
+    texts = pages.withColumn("text", cert)
+    rows = dictionary.list_rows(spark.createDataFrame([(1, "name: JOHN SAMPLE"), (2, "trust: A B"), (3, "# trust: C"), (4, "acct: QQ 1"), (5, "estate: D")], "line_no int, line string"))
+    entries = dictionary.make_entries([("name", "JOHN SAMPLE"), ("acct", "QQ 1")])
+    findings = spark.createDataFrame([(1, "[LIST:name]", "JOHN SAMPLE", "[NAME-1]", 1)], "doc_ord bigint, reason string, original string, token string, n bigint")
+    audited = o.filter("doc_ord % 7 = 0").select("doc_ord", F.lit(1).alias("line_no"), F.lit("FAIL").alias("severity"), F.lit("[PATTERN:SSN]").alias("reason"))
+    regions = o.filter("doc_ord % 5 = 4").select("doc_ord", F.lit(2).alias("page_no"), F.lit(True).alias("no_id"))
+    missing = o.filter("doc_ord % 5 > 1").select("doc_ord", F.when(F.col("doc_ord") % 5 == 3, 4).otherwise(0).alias("n_missing"))
+    told = [
+        notes.list_notes(rows, entries, findings), notes.text_notes(drawn, read), notes.signature_notes(regions), notes.audit_notes(audited), notes.single_file(o),
+        notes.page_notes(texts, pages.filter("doc_ord % 5 = 1 and page_no < 3"), o.filter("doc_ord % 5 = 2").select("doc_ord", F.lit("v").alias("value")), missing),
+    ]
+    out = told[0]
+    for t in told[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+# ---------------------------------------------------------------- over the corpus
+
+#: What the rules find in documents: e-mail addresses, phone numbers and account numbers, with their places and tokens.
+_FOUND = rf"""{_LINES},
+spots as (select doc_id, line_no, line, unnest(generate_series(1, length(line))) as i from lines where regexp_matches(line, '\d|@')),
+e as (select doc_id, line_no, i, 'EMAIL' as kind, regexp_extract(substr(line, i), '^{_EMAIL}') as v from spots
+  where regexp_matches(substr(line, i), '^{_EMAIL}') and not regexp_matches(substr(line, 1, i - 1), '{_W}.+-]$')),
+p as (select doc_id, line_no, i, 'PHONE' as kind, regexp_extract(substr(line, i), '^{_PHONE}', 1) as v from spots where regexp_matches(substr(line, i), '^{_PHONE}')),
+q as (select * from p where not exists (select 1 from p as b where b.doc_id = p.doc_id and b.line_no = p.line_no and b.i < p.i and b.i + length(b.v) > p.i)),
+a as (select doc_id, line_no, i, 'ACCT' as kind, regexp_extract(substr(line, i), '^\d{{8,}}') as v from spots
+  where regexp_matches(substr(line, i), '^\d{{8,}}') and not regexp_matches(substr(line, 1, i - 1), '(\d|\d\.|[^\w]\.|^\.)$') and not regexp_matches(regexp_replace(substr(line, i), '^\d+', ''), '^\s?%')),
+h as (select *, case kind when 'ACCT' then v else upper(trim(regexp_replace(v, '\s+', ' ', 'g'))) end as norm, case kind when 'ACCT' then right(v, 4) else '' end as tail
+  from (select * from e union all select * from q union all select * from a)),
+n as (select kind, norm, tail, row_number() over (partition by kind, tail order by min((doc_id * 1000000 + line_no) * 100000 + i)) as k from h group by kind, norm, tail),
+t as (select h.*, case when kind <> 'ACCT' then '[' || kind || '-' || k || ']' when k = 1 then '[ACCT-...' || tail || ']' else '[ACCT-' || k || '-...' || tail || ']' end as token from h join n using (kind, norm, tail))"""
+
+
+@query(f"""with {_FOUND},
+parts as (select t.*, line, lag(t.i + length(v), 1, 1) over w as since, row_number() over (partition by doc_id, line_no order by t.i desc) as back from t join lines using (doc_id, line_no) window w as (partition by doc_id, line_no order by t.i))
+select doc_id as doc_ord, cast(line_no as bigint) as line_no, string_agg(substr(line, since, i - since) || token || case when back = 1 then substr(line, i + length(v)) else '' end, '' order by i) as redacted from parts group by doc_id, line_no""")
 def redact_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run over documents: redacted lines, for those that change."""
     out = run.redact(document_lines(spark, sf_dir))
-    return out.lines.filter("line <> redacted").select("doc_ord", "line_no", "redacted")
+    return out.lines.filter("line <> redacted").select("doc_ord", F.col("line_no").cast("bigint").alias("line_no"), "redacted")
 
 
-@query("select cast(null as bigint) as doc_ord, cast(null as varchar) as reason where false")
+@query(f"with {_FOUND} select distinct doc_id as doc_ord, cast(line_no + 1 as bigint) as line_no, '[PATTERN:' || kind || ']' as reason from h where doc_id % 3 = 0")
 def audit_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the run's own audit fails over documents: nothing."""
+    """The audit of a run's output into which a leak was put: a third of the documents stand there as they were."""
+    from pyspark.sql import Column
+
+    raw = document_lines(spark, sf_dir)
+    out = run.redact(raw)
+    leak: Column = F.col("doc_ord") % 3 == 0
+    left = out.lines.withColumn("line", F.when(leak, F.col("line")).otherwise(F.col("redacted"))).select("doc_ord", "line_no", "line", "is_ocr")
+    return audit.audit(left).filter("severity = 'FAIL'").select("doc_ord", F.col("line_no").cast("bigint").alias("line_no"), "reason")
+
+
+@query("select cast(null as bigint) as doc_ord, cast(null as varchar) as reason where false")
+def own_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run's own audit fails over documents: nothing."""
     return run.redact(document_lines(spark, sf_dir)).audit.filter("severity = 'FAIL'").select("doc_ord", "reason")
 
 
@@ -524,5 +760,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-

@@ -30,22 +30,21 @@ from ..sources.store import stored
 class RunConfig:
     """What can be chosen for a run.
 
-    sweep: replace found values everywhere. signatures: treat signature areas and stamps. ocr: use text from OCR where a
-    document has no text layer. flatten: take form field values into the text. keep_certificate: keep the pages of an
-    e-signed document's certificate. mine: look for candidate entries, and use them in the same run. preview: stop before
-    anything is written. pdf: make boxes for redacted pages. report: make the report. master: read the master list too.
-    store: a folder for the folded lines (else one below the shared folder)."""
+    sweep: replace found values everywhere. signatures: treat signature areas and stamps. ocr: use text from OCR.
+    keep_certificate: keep the pages of an e-signed document's certificate. mine: look for candidate entries, and use them in
+    the same run. preview: write nothing. store: a folder for the folded lines (else one below the shared folder).
+
+    What else can be chosen is which functions are called: sources.files.lists_for (the lists, with or without a master list),
+    sources.lines.with_fields (form fields), layout.span_boxes (boxes for redacted pages), report.report_text, run.inspect
+    and audit.audit_extracts.
+    """
 
     sweep: bool = True
     signatures: bool = True
     ocr: bool = True
-    flatten: bool = True
     keep_certificate: bool = False
     mine: bool = False
     preview: bool = False
-    pdf: bool = True
-    report: bool = True
-    master: bool = True
     store: str | None = None
 
 

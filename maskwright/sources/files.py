@@ -14,6 +14,18 @@ from .lines import join_lines
 from .store import numbered
 
 LIST_NAME = "redaction_list.txt"
+#: Categories of a list, and what they are for.
+CATEGORY_NOTES = {
+    "name": "persons; other orders of a name's words are replaced too",
+    "employer": "employers, payers, banks, brokers",
+    "ssn": "social security numbers in any grouping",
+    "email": "mail addresses",
+    "dob": "dates of birth, month first; other ways to write them are replaced too",
+    "id": "numbers of licences and of other papers",
+    "phone": "telephone numbers with any separators",
+    "addr": "street addresses; commas and spaces needn't be as in the text",
+    "acct": "account numbers",
+}
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -54,10 +66,46 @@ def write_extracts(made: DataFrame, audited: DataFrame, path: str) -> None:
     promote(made, audited).write.mode("overwrite").partitionBy("doc_ord").text(path, lineSep="\n")
 
 
+def list_path(spark: SparkSession, folder: str) -> str:
+    """The list of a folder: in it, or one or two levels up; if there is none, where it would be made."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = fs.makeQualified(at)
+    places = [at, at.getParent(), at.getParent() and at.getParent().getParent()]
+    lists = [spark._jvm.org.apache.hadoop.fs.Path(p, LIST_NAME) for p in places if p is not None]
+    return next((p for p in lists if fs.exists(p)), lists[0]).toString()
+
+
+def lists_for(spark: SparkSession, folder: str, master: str | None = None) -> list[DataFrame]:
+    """The lists to read, the folder's own first, as load_entries wants them; those that don't exist are left out."""
+    out = []
+    for path in [list_path(spark, folder), *([master] if master else [])]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            out.append(read_list(spark, path))
+    return out
+
+
+def template() -> str:
+    """The head of a new list, which says what may stand in it."""
+    kinds = [f"#   {k + ':':<11}{said}" for k, said in CATEGORY_NOTES.items()]
+    return "\n".join([
+        f"# {LIST_NAME}: values that are replaced wherever they stand. Once filled in it is as private as the documents.",
+        "# One value a line. What follows a # is a comment; a value behind one is never replaced, and never offered again.",
+        "# A value can begin with its category; without one it is a name:", *kinds,
+    ])
+
+
 def append_entries(found: DataFrame, path: str, source: str) -> None:
-    """Append candidates (category, value) to a list held as a folder of text files, under a dated header."""
+    """Append candidates (category, value) to a list held as a folder of text files, under a dated header; a new list begins
+    with the template. Nothing is written if there are none."""
     spark = found.sparkSession
-    head = spark.createDataFrame([(0, f"# added {date.today().isoformat()} from {source}: comment out what is wrong")], "nth int, value string")
+    if found.isEmpty():
+        return
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    lines = [] if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else template().split("\n")
+    lines.append(f"# added {date.today().isoformat()} from {source}: comment out what is wrong")
+    head = spark.createDataFrame([("\n".join(lines), 0)], "value string, nth int").select("nth", "value")
     rows = found.select(F.lit(1).alias("nth"), F.concat_ws(": ", "category", "value").alias("value"))
     head.unionByName(rows).coalesce(1).sortWithinPartitions("nth", "value").select("value").write.mode("append").text(path)
 

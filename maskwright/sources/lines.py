@@ -66,3 +66,16 @@ def missing_values(values: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = values.join(texts, "doc_ord")
     lacking = ~squeezed(F.col("text")).contains(squeezed(F.col("value")))
     return pairs.groupBy("doc_ord").agg(F.sum(lacking.cast("bigint")).alias("n_missing"))
+
+
+def with_fields(pages: DataFrame, fields: DataFrame) -> DataFrame:
+    """Page lines (doc_ord, page_no, page_line, line) with the values of form fields (doc_ord, page_no, value) as further lines of
+    their pages, in the order of the values."""
+    from pyspark.sql import Window as W
+
+    last = pages.groupBy("doc_ord", "page_no").agg(F.max("page_line").alias("last"))
+    nth = F.row_number().over(W.partitionBy("doc_ord", "page_no").orderBy("value"))
+    own = fields.filter("value is not null").join(last, ["doc_ord", "page_no"], "left").select(
+        "doc_ord", "page_no", (F.coalesce("last", F.lit(-1)) + nth).cast("bigint").alias("page_line"), F.col("value").alias("line")
+    )
+    return pages.select("doc_ord", "page_no", F.col("page_line").cast("bigint").alias("page_line"), "line").unionByName(own)
