@@ -14,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .common import span_hashes, text_buffer
+from .common import span_hashes, text_buffer, vocabulary
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 STORE_CHUNKS = 600_000
@@ -33,7 +33,7 @@ class BpeIds:
     def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_file(vocabulary(path))
         self.tok.encode_special_tokens = plain
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1

@@ -4,8 +4,7 @@ and a vectorised scan of words over Arrow text columns."""
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import drop_path, release, shared_dir, stored
+
+__all__ = ["drop_path", "release", "shared_dir", "stored"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch; with the slices of SLICE_BYTES below it bounds what a Python worker holds.
 BATCH_ROWS = 2000
@@ -29,28 +32,13 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
-        root = tempfile.mkdtemp(prefix="maskwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/maskwright/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
+def vocabulary(path: str) -> str:
+    """A tokenizer's file in this process: where the driver's path isn't there, the installed package's file of that name."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return public_tokenizers.path(os.path.basename(path))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_ids import BpeIds
-from .common import arrow_batches, columns_only, slices, span_hashes, text_buffer, word_spans
+from .common import arrow_batches, columns_only, slices, span_hashes, text_buffer, vocabulary, word_spans
 
 SPACE = "▁"
 NOT_SPACE = np.ones(256, bool)
@@ -51,7 +51,7 @@ class PieceIds(BpeIds):
 
         if kind not in ("bpe", "unigram"):
             raise ValueError(kind)
-        sp = SentencePieceProcessor(model_file=path)  # read for its pieces and scores only
+        sp = SentencePieceProcessor(model_file=vocabulary(path))  # read for its pieces and scores only
         self.kind, self.size = kind, sp.get_piece_size()
         self.unk = sp.unk_id()
         self.piece_ids: dict[str, int] = {}
