@@ -6,15 +6,26 @@ smallest alphabet that it is in (decimal, hex, letters of one case or of both,
 base32, base36, base62, base64), is inferred, and under the hypothesis that its
 characters are drawn uniformly from that alphabet three tests give p-values:
 chi-squared uniformity, Wald-Wolfowitz runs about the middle of the alphabet,
-and serial correlation. Three times the smallest is the candidate's p.
-
-Random strings have uniform p, ordinary ones gather near 0. For each encoding
-and class of length a histogram of all p in the corpus (a few hundred counts)
-shows how many candidates are random (those over 1/2, doubled), and so how
-many of those above a threshold aren't. The least threshold with an expected
-share of false ones of at most FALSE_SHARE is used, so short strings, whose
-tests have little power, meet a stricter one. The scan is stored between the
-two steps and texts are read once.
+and serial correlation. With m the smallest, 1 - (1 - m) ** 3 is the candidate's
+p: uniform for random strings if the tests were independent and exact.
+
+They aren't quite (runs and correlation go together, and counts of short strings
+are few), so p is judged against what random strings have: each candidate has a
+twin, a string of its own encoding and length drawn with a hash of the
+candidate, which takes the same tests. Random strings are spread as the twins
+are, ordinary ones gather near 0. For each encoding and class of length two
+histograms, of all distinct candidates in the corpus and of their twins (a few
+hundred counts), show how many candidates are random (those over a limit, by the
+twins' share there), and so how many of those above a threshold aren't. The
+least threshold with an expected share of false ones of at most FALSE_SHARE is
+used, so short strings, whose tests have little power, meet a stricter one; where
+the candidates over 1/2 aren't spread as their twins, or ordinary ones are so
+many that the share LEAK of them would be too much, there is no threshold and
+nothing of the group is reported. The control holds as far as no more than LEAK
+of ordinary strings are spread as random ones are. The scan is stored between the two steps
+and texts are read once.
+
+All steps take time in proportion to a text's length, however many spans it has.
 
 Defined results: a null text is empty; texts without spans have counts 0 and
 empty lists; a null id is kept; repeated rows are rows of their own; an empty
@@ -23,12 +34,14 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_only, stored
+from .native import bind, running
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -43,27 +56,35 @@ ALPHABETS = {"decimal": DIGITS, "hex": DIGITS + "abcdef", "lower": LOWER, "upper
 LENGTHS = [24, 32, 48, 80]
 BINS = 100
 FALSE_SHARE = 0.05
+PRIOR = 200
+#: The share of ordinary strings that may be spread like random ones, so that their p says nothing.
+LEAK = 0.05
 LEAST_P = 0.01
 
-SPANS = "array<struct<a:int,kind:int,b:int>>"
+SPAN = "struct<a:int,kind:int,b:int>"
+SPANS = f"array<{SPAN}>"
 
 
-def _spans(text: Column, pattern: str, kind: int, fits) -> Column:  # noqa: ANN001
-    """(start, kind, end) of a pattern's leftmost matches that fit, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(F.size(found) > 0, F.filter(_ends(F.split(text, pattern, -1), found, kind), fits)).otherwise(F.array().cast(SPANS))
+def _found(text: Column, pattern: str, group: int = 0) -> Column:
+    """(start, end, a group) of a pattern's leftmost matches, in code points."""
+    rest = F.split(text, pattern, -1)
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(rest.alias("rest"), every.alias("m"), *([F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")] if group else []))
+    # of the pieces between matches there is one more, the last
+    steps = F.transform(parts, lambda x: F.struct(F.length(x["rest"]).alias("gap"), F.length(x["m"]).alias("size"), x["g" if group else "m"].alias("s")))
+    steps = F.filter(steps, lambda x: x["s"].isNotNull())
 
+    def add(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + x["gap"]
+        b = a + x["size"]
+        return b, F.struct(a.alias("a"), b.alias("b"), x["s"].alias("s"))
 
-def _ends(rest: Column, found: Column, kind: int) -> Column:
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.element_at(rest, i + 1)).alias("gap"), F.length(m).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    kind = "struct<a:int,b:int,s:string>"
+    return F.when(F.rlike(text, F.lit(pattern)), running(steps, F.lit(0), kind, add)).otherwise(F.array().cast(f"array<{kind}>"))
 
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + x["size"]
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), F.lit(kind).alias("kind"), b.alias("b")))).alias("out"))
 
-    return F.aggregate(steps, zero, add, lambda acc: acc["out"])
+def _spans(found: Column, kind: int, fits: Callable[[Column], Column]) -> Column:
+    return F.transform(F.filter(found, fits), lambda x: F.struct(x["a"].alias("a"), F.lit(kind).alias("kind"), x["b"].alias("b")))
 
 
 def _tail(z: Column) -> Column:
@@ -114,51 +135,89 @@ def _tested(s: Column, enc: str) -> Column:
         mean, first = m["sum"] / n, F.position(F.substring(s, 1, 1), F.lit(alphabet)).cast("double")
         cov = m["lag"] - mean * (2 * m["sum"] - first - m["last"]) + (n - 1) * mean * mean
         z_serial = (cov / F.greatest(m["sq"] - n * mean * mean, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-        return F.least(F.lit(1.0), 3 * F.least(_tail(z_chi), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial))))
+        least = F.least(F.lit(1.0), _tail(z_chi), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))
+        return 1 - F.pow(1 - least, F.lit(3.0))
 
-    return F.element_at(F.transform(F.array(m), p_of), 1)
+    return bind(m, p_of)
 
 
 def _length_class(n: Column) -> Column:
     return sum(((n >= x).cast("int") for x in LENGTHS), F.lit(0))
 
 
+def _twin(seed: Column, n: Column, enc: str) -> Column:
+    """A string of n characters drawn from an alphabet with a hash."""
+    alphabet = F.lit(ALPHABETS[enc])
+    draw = lambda j: F.substring(alphabet, (F.pmod(F.xxhash64(seed, j), F.lit(len(ALPHABETS[enc]))) + 1).cast("int"), F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), draw), "")
+
+
 def _candidate(text: Column) -> Column:
-    """What the battery finds about each candidate: start, end, encoding's number, class of length, p."""
-    spans = _spans(text, CANDIDATE, len(KINDS) - 1, lambda x: x["b"] > x["a"])
+    """What the battery finds about each candidate: start, end, encoding's number and class of length (grp), p, its twin's p, and
+    a hash of the string."""
     encs = list(ALPHABETS)
 
     def look(x: Column) -> Column:
-        raw = F.substring(text, x["a"] + 1, x["b"] - x["a"])
-        s = F.translate(F.rtrim(raw, F.lit("=")), "-_", "+/")
-        return F.struct(x["a"].alias("a"), x["b"].alias("b"), s.alias("s"), _encoding(s).alias("enc"))
+        s = F.translate(F.rtrim(x["s"], F.lit("=")), "-_", "+/")
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), s.alias("s"), _encoding(s).alias("enc"), F.xxhash64(s).alias("h"))
+
+    def both_tested(s: Column, seed: Column, enc: str) -> Column:
+        return F.transform(F.array(s, _twin(seed, F.length(s), enc)), lambda y: _tested(y, enc))
 
     def test(x: Column) -> Column:
         s = F.when(x["enc"].isin("hex", "base36") & x["s"].rlike("[A-Z]"), F.lower(x["s"])).otherwise(x["s"])
-        p = F.lit(None).cast("double")
+        p = F.lit(None).cast("array<double>")
         for enc in encs:
-            p = F.when(x["enc"] == enc, _tested(s, enc)).otherwise(p)
+            p = F.when(x["enc"] == enc, both_tested(s, x["h"], enc)).otherwise(p)
         group = F.array_position(F.array(*map(F.lit, encs)), x["enc"]).cast("int") * 10 + _length_class(F.length(s))
-        return F.struct(x["a"].alias("a"), x["b"].alias("b"), group.alias("grp"), p.alias("p"))
-
-    return F.transform(F.transform(spans, look), test)
+        return bind(p, lambda q: F.struct(x["a"].alias("a"), x["b"].alias("b"), group.alias("grp"), F.element_at(q, 1).alias("p"), F.element_at(q, 2).alias("twin"), x["h"].alias("h")))
+
+    return F.transform(F.transform(_found(text, CANDIDATE), look), test)
+
+
+def _threshold(seen: list[int], twins: list[int], share: float) -> float | None:
+    """The least p above which at most that share of the candidates is expected not to be random; None if there is none."""
+    above = [sum(seen[b:]) for b in range(BINS)]
+    # few twins say little, so PRIOR uniform ones are added
+    null = [(sum(twins[b:]) + PRIOR * (1 - b / BINS)) / (sum(twins) + PRIOR) for b in range(BINS)]
+    half, quarter = BINS // 2, BINS * 3 // 4
+    # among random strings those over 3/4 are a known part of those over 1/2; ordinary ones thin out on the way there
+    part = null[quarter] / null[half]
+    if not above[half] or above[quarter] < above[half] * part * (1 - share) - 2 * sqrt(above[half] * part * (1 - part) + 1):
+        return None
+    # how many are random, by those over a limit: the limit with the least expected error (Storey, 2002), as a high one leaves
+    # few to go by and a low one takes in ordinary ones
+    guesses = [(b, above[b] / null[b]) for b in range(5, half + 1, 5)]
+    fewest = min(n for _, n in guesses)
+    limit, random = min(guesses, key=lambda g: g[1] * (1 - null[g[0]]) / null[g[0]] + (g[1] - fewest) ** 2)
+    stray = LEAK * max(0.0, above[0] - random)
+    return next((b / BINS for b in range(max(1, int(LEAST_P * BINS)), limit + 1) if above[b] - random * null[b] + stray * null[b] <= share * above[b]), None)
 
 
 def thresholds(found: DataFrame, share: float = FALSE_SHARE) -> dict[int, float]:
-    """For each group of candidates the p above which at most that share is expected not to be random. found: grp, p."""
-    counts: dict[int, list[int]] = {}
-    for grp, b, n in found.groupBy("grp", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect():
-        counts.setdefault(grp, [0] * BINS)[b] = n
-    out = {}
-    for grp, hist in counts.items():
-        random = 2 * sum(hist[BINS // 2 :])
-        out[grp] = 0.5
-        for b in range(max(1, int(LEAST_P * BINS)), BINS // 2):
-            above = sum(hist[b:])
-            if above and max(0.0, above - random * (1 - b / BINS)) <= share * above:
-                out[grp] = b / BINS
-                break
-    return out
+    """The threshold of each group of candidates that has one. found: grp, p, twin, h; equal strings count once."""
+    place = lambda c: F.least(F.floor(F.col(c) * BINS), F.lit(BINS - 1)).cast("int")
+    once = found.groupBy("grp", "h").agg(F.min(F.struct("p", "twin")).alias("x")).select("grp", "x.*")
+    both = once.select("grp", F.explode(F.array(F.struct(F.lit(0).alias("own"), place("p").alias("bin")), F.struct(F.lit(1).alias("own"), place("twin").alias("bin")))).alias("y"))
+    counts: dict[int, list[list[int]]] = {}
+    for grp, own, b, n in both.groupBy("grp", "y.own", "y.bin").count().collect():  # at most 2 * BINS counts for each of 45 groups
+        counts.setdefault(grp, [[0] * BINS, [0] * BINS])[own][b] = n
+    out = {grp: _threshold(*hists, share) for grp, hists in counts.items()}
+    return {grp: p for grp, p in out.items() if p is not None}
+
+
+def _outside(candidates: Column, base: Column) -> Column:
+    """The candidates (a, b) that lie within no base span, as spans."""
+    mixed = F.concat(
+        F.transform(base, lambda s: F.struct(s["a"].alias("a"), F.lit(0).alias("own"), s["b"].alias("b"))), F.transform(candidates, lambda c: F.struct(c["a"].alias("a"), F.lit(1).alias("own"), c["b"].alias("b")))
+    )
+
+    def pass_over(reach: Column, x: Column) -> tuple[Column, Column]:
+        after = F.when(x["own"] == 0, F.greatest(reach, x["b"])).otherwise(reach)
+        return after, F.struct(x["a"].alias("a"), F.lit(len(KINDS) - 1).alias("kind"), F.when((x["own"] == 1) & (reach < x["b"]), x["b"]).alias("b"))
+
+    kept = F.filter(running(F.array_sort(mixed), F.lit(-1), SPAN, pass_over), lambda x: x["b"].isNotNull())
+    return F.when(F.size(candidates) > 0, kept).otherwise(F.array().cast(SPANS))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FALSE_SHARE) -> DataFrame:
@@ -166,21 +225,18 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in code points. A random span that lies within a base span is left out."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = columns_only(docs, **{id_col: "bigint", text_col: "string"}).select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    long = F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))
-    assign = F.transform(_spans(F.col("text"), ASSIGN, 0, lambda x: x["b"] > x["a"]), lambda x, i: F.struct(x["a"].alias("a"), x["kind"].alias("kind"), x["b"].alias("b"), F.length(F.element_at(long, i + 1)).alias("n")))
-    assign = F.transform(F.filter(assign, lambda x: x["n"] >= ASSIGN_VALUE), lambda x: F.struct(x["a"].alias("a"), x["kind"].alias("kind"), x["b"].alias("b")))
-    access = _spans(F.col("text"), ACCESS, 1, lambda x: x["b"] - x["a"] >= ACCESS_LENGTH)
+    assign = _spans(_found(F.col("text"), ASSIGN, 2), 0, lambda x: F.length(x["s"]) >= ASSIGN_VALUE)
+    access = _spans(_found(F.col("text"), ACCESS), 1, lambda x: x["b"] - x["a"] >= ACCESS_LENGTH)
     # runs are maximal, so asking for their length in the pattern drops the same ones
-    hexes = _spans(F.col("text"), HEX[:-1] + f"{{{HEX_LENGTH},}}", 2, lambda x: x["b"] > x["a"])
+    hexes = _spans(_found(F.col("text"), HEX[:-1] + f"{{{HEX_LENGTH},}}"), 2, lambda x: x["b"] > x["a"])
     seen = src.select("doc_id", F.array_sort(F.concat(assign, access, hexes)).alias("base"), _candidate(F.col("text")).alias("candidates"))
     seen, _ = stored(seen, "spans")
-    least = thresholds(seen.select(F.explode("candidates").alias("c")).select("c.grp", "c.p"), share)
+    least = thresholds(seen.select(F.explode("candidates").alias("c")).select("c.grp", "c.p", "c.twin", "c.h"), share)
     if not least:
         return seen.select("doc_id", "base", F.array().cast(SPANS).alias("random"))
     table = F.create_map(*(F.lit(x) for kv in sorted(least.items()) for x in kv))
-    inside = lambda c: F.exists("base", lambda s: (s["a"] <= c["a"]) & (c["b"] <= s["b"]))
-    taken = F.filter("candidates", lambda c: (c["p"] >= F.element_at(table, c["grp"])) & ~inside(c))
-    return seen.select("doc_id", "base", F.transform(taken, lambda c: F.struct(c["a"].alias("a"), F.lit(len(KINDS) - 1).alias("kind"), c["b"].alias("b"))).alias("random"))
+    taken = seen.withColumn("taken", F.filter("candidates", lambda c: c["p"] >= F.try_element_at(table, c["grp"])))
+    return taken.select("doc_id", "base", _outside(F.col("taken"), F.col("base")).alias("random"))
 
 
 def digest(scan: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def battery(s: str, enc: str) -> float:
     mean = sum(v) / n
     lag = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / max(sum((x - mean) ** 2 for x in v), 1e-9)
     zs = [(chi - (k - 1)) / sqrt(2 * (k - 1) * (1 - 1 / n)), abs((runs - mu) / sqrt(max((mu - 1) * (mu - 2) / (n - 1), 1e-9))), abs((lag + 1 / n) * sqrt(n))]
-    return min(1.0, 3 * min(tail(zs[0]), 2 * tail(zs[1]), 2 * tail(zs[2])))
+    return 1 - (1 - min(1.0, tail(zs[0]), 2 * tail(zs[1]), 2 * tail(zs[2]))) ** 3
 
 
 def test_randomness_battery_against_plain_python(spark):
