@@ -5,13 +5,13 @@ rule is a regex over words. Rules are ordered: each has a priority, a label,
 and a keyword, a word without which it can't match. A document is tested only
 for the rules whose keyword is among its words. A short form (`GPLv3`) can begin
 with several words (gpl, gplv, gpl3, gplv3), so it is a rule for each of them.
-Detections are intervals of
-words; one that lies within the interval of a detection of higher priority (or
-of the same priority and longer, or earlier) is suppressed. The base phrases
-are found apart from that and are never suppressed.
+Detections are intervals of words; one that lies within the interval of a
+detection of higher priority (or of the same priority and longer, or earlier) is
+suppressed. The base phrases are found apart from that and are never suppressed.
+All steps take time in proportion to a text's length, however many places it has.
 
-Most rules come from a grammar: families with their versions, and the ways in
-which a text refers to a license. The rest are written by hand.
+Rules are written by hand (license_rules.py) but for names: each family's name,
+with its versions, its SPDX ids and short forms, is expanded from a row of a table.
 
 Defined results: a null text is empty; texts without words have no places,
 null first and last words, empty labels and score 0; a null id is kept;
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, columns_only
+from .license_rules import GENERAL, NOTICES, TEXTS, parsed
+from .native import bind, running
 
 #: Phrase and label.
 BASE = {
@@ -92,35 +94,6 @@ CREATIVE = [
     ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"),
     ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?"),
 ]
-#: Written by hand: label, keyword, pattern.
-PHRASES = [
-    ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "sublicense", "use copy modify merge publish distribute sublicense and or sell copies"),
-    ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "endorse", "may be used to endorse or promote products derived from this software"),
-    ("apache", "limitations", "see the license for the specific language governing permissions and limitations"),
-    ("apache", "compliance", "you may not use this file except in compliance with the license"),
-    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public"),
-    ("lgpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library)"),
-    ("agpl", "redistribute", "you can redistribute it and or modify it under the terms of the (?:gnu )?affero"),
-    ("mpl", "mozilla", "subject to the terms of the mozilla public"),
-    ("zlib", "warranty", "provided as is without any express or implied warranty"),
-    ("bsl", "boost", "distributed under the boost software"),
-    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
-    ("public-domain", "domain", "(?:in|into|to) the public domain"),
-    ("cc0", "zero", "(?:creative commons|cc) zero"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("wtfpl", "want", "you just do what the fuck you want to"),
-    ("warranty", "merchantability", "implied warranties of merchantability"),
-    ("warranty", "liable", "in no event shall the (?:authors?|copyright holders?)(?: or copyright holders?)? be liable"),
-    ("proprietary", "reserved", "all rights reserved"),
-    ("proprietary", "confidential", "proprietary and confidential"),
-    ("proprietary", "unauthorized", "unauthorized (?:copying|use|distribution|reproduction)"),
-    ("proprietary", "prohibited", "(?:copying|distribution|reproduction) is strictly prohibited"),
-    ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}"),
-    ("spdx", "spdx", "spdx license identifier [a-z0-9]+"),
-]
 
 
 def _short_forms(short: str, versions: str) -> list[tuple[str, str]]:
@@ -136,15 +109,13 @@ def _short_forms(short: str, versions: str) -> list[tuple[str, str]]:
 
 
 def rules() -> list[Rule]:
-    """All rules in order; over three hundred."""
+    """All rules in order: those written by hand, and the names, versions and short forms of families."""
     out = []
     for label, name, short, versions in FAMILIES:
         word = {"odbl": "database", "unlicense": "unlicense", "bsd": "bsd", "cecill": "cecill"}.get(label) or name.replace("(?:gnu )?", "").split(" ")[0]
         word = {"apache(?:": "apache", "zlib(?:": "zlib", "open": "software", "do": "fuck", "q": "public"}.get(word, word)
         ver = f"(?: (?:v|version|ver))? ?(?:{versions})"
         later = " (?:or (?:at your option )?(?:any )?later(?: version)?)"
-        for verb in ("licensed", "released", "distributed", "available", "provided", "published"):
-            out.append(Rule(10, label, verb, f"{verb} under (?:the )?(?:terms of (?:the )?)?{name}(?: ?{ver})?(?:{later})?", 0.99))
         # a version can be joined to the name's last word, which is the keyword of this one
         for w in (word, "unlicense1") if label == "unlicense" else (word,):
             out.append(Rule(20, label, w, f"{name}{ver}{later}", 0.97))
@@ -159,7 +130,8 @@ def rules() -> list[Rule]:
         out.append(Rule(22 - len(code) // 3, f"cc-{code}", "creativecommons", f"creativecommons org licenses {parts}(?: [0-9] [0-9])?", 0.99))
         out.append(Rule(25 - len(code) // 3, f"cc-{code}", "commons", f"creative commons {words}(?: (?:[1-4] [05]))?(?: (?:international|unported|generic))?(?: licen[cs]e)?", 0.97))
         out.append(Rule(35 - len(code) // 3, f"cc-{code}", "cc", f"cc {parts}", 0.9))
-    out += [Rule(50, label, word, pattern, 0.7) for label, word, pattern in PHRASES]
+    for priority, confidence, block in ((10, 0.99, TEXTS), (12, 0.98, NOTICES), (50, 0.7, GENERAL)):
+        out += [Rule(priority, label, word, pattern, confidence) for label, word, pattern in parsed(block)]
     return sorted(out, key=lambda r: (r.priority, r.label, r.pattern))
 
 
@@ -177,18 +149,14 @@ def _spaces(c: Column) -> Column:
 
 def _places(words: Column, pattern: Column) -> Column:
     """Intervals (first word, word after the last) of a pattern's matches, which begin after a space and end before one."""
-    rest = F.split(words, pattern, -1)
-    found = F.regexp_extract_all(words, pattern, F.lit(0))
-    # each match begins after the words of all pieces and matches before it; a piece has a space more than words
-    steps = F.transform(found, lambda m, i: F.struct((_spaces(F.element_at(rest, i + 1)) - 1).alias("gap"), (_spaces(m) + 1).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + x["size"]
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
-
-    return F.aggregate(steps, zero, add, lambda acc: acc["out"])
+    # the first and last word of each match are marked with characters that no word has
+    marked = F.split(F.regexp_replace(words, pattern, F.lit("\u0001$0\u0002")), " ")
+    # words of the text are numbered from 1 there, as it begins with a space
+    numbered = F.transform(marked, lambda x, i: F.struct(i.alias("i"), F.startswith(x, F.lit("\u0001")).alias("first"), F.endswith(x, F.lit("\u0002")).alias("last")))
+    ends = F.filter(numbered, lambda x: x["first"] | x["last"])
+    found = bind(ends, lambda e: F.arrays_zip(F.filter(e, lambda x: x["first"])["i"].alias("a"), F.filter(e, lambda x: x["last"])["i"].alias("b")))
+    places = F.transform(found, lambda x: F.struct((x["a"] - 1).alias("a"), x["b"].alias("b")))
+    return F.when(F.rlike(words, pattern), places).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
 
 
 def _whole(pattern: str) -> str:
@@ -222,10 +190,21 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = F.filter(table, lambda r: F.array_contains("keys", r["keyword"]))
     hits = F.flatten(F.transform(asked, lambda r: F.transform(_places(F.col("w"), r["pattern"]), lambda x: F.struct(r["priority"].alias("priority"), (x["a"] - x["b"]).alias("short"), r["nth"].alias("nth"), x["a"].alias("a"), x["b"].alias("b"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     none = F.array().cast("array<struct<priority:int,short:int,nth:int,a:int,b:int,label:string,confidence:double>>")
-    df = df.withColumn("hits", F.when(F.size("keys") > 0, F.array_sort(hits)).otherwise(none))
-    # in order of strength, one that lies within a stronger one goes
-    keep = F.aggregate("hits", none, lambda kept, x: F.when(F.exists(kept, lambda k: (k["a"] <= x["a"]) & (x["b"] <= k["b"])), kept).otherwise(F.concat(kept, F.array(x))))
-    found = F.transform(F.when(F.size("hits") > 0, keep).otherwise(none), lambda x: F.struct(x["label"].alias("label"), x["a"].alias("a"), x["b"].alias("b"), x["confidence"].alias("confidence")))
+    df = df.withColumn("hits", F.when(F.size("keys") > 0, hits).otherwise(none))
+    # One that lies within a stronger one goes. Hits are in the order of their first words, longer ones first, so those that a
+    # hit can lie within come before it; the last word that those of each priority, or of a stronger one, reach is enough.
+    levels = sorted({r.priority for r in ordered})
+    level = lambda x: F.array_position(F.array(*map(F.lit, levels)), x["priority"]).cast("int")
+
+    def judge(reach: Column, x: Column) -> tuple[Column, Column]:
+        after = F.transform(reach, lambda r, i: F.when(i + 1 >= x["level"], F.greatest(r, x["b"])).otherwise(r))
+        stays = F.element_at(reach, x["level"]) < x["b"]
+        return after, F.struct(*(x[c].alias(c) for c in ("priority", "short", "nth", "a", "b", "label", "confidence")), stays.alias("stays"))
+
+    along = F.array_sort(F.transform("hits", lambda x: F.struct(x["a"].alias("a"), (-x["b"]).alias("back"), level(x).alias("level"), x["nth"].alias("nth"), *(x[c].alias(c) for c in ("b", "priority", "short", "label", "confidence")))))
+    judged = running(along, F.array(*(F.lit(-1) for _ in levels)), "struct<priority:int,short:int,nth:int,a:int,b:int,label:string,confidence:double,stays:boolean>", judge)
+    keep = F.array_sort(F.filter(judged, lambda x: x["stays"]))
+    found = F.transform(keep, lambda x: F.struct(x["label"].alias("label"), x["a"].alias("a"), x["b"].alias("b"), x["confidence"].alias("confidence")))
     return df.select("doc_id", n_words.cast("bigint").alias("n_words"), base.alias("base"), found.alias("found"))
 
 
