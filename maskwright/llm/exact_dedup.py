@@ -1,12 +1,14 @@
 """Exact deduplication by content sort, in DataFrame functions only.
 
 Normalised texts (white space deleted) are put in content order: sampled
-splitters deal the rows into ranges, each range is sorted externally, and each
-row is compared in full with the one before it. The range key is (first
-characters, digest, id): equal texts stay adjacent, and a large group of copies
-is cut into several ranges by its ids. Runs that a splitter cuts are at most
-one for each splitter; their totals are joined back by broadcast, whose size
-the number of ranges bounds.
+splitters, which share out bytes rather than rows, deal the rows into ranges,
+each range is one partition and is sorted externally, and each row is compared
+in full with the one before it. The range key is (first characters, digest,
+id): equal texts stay adjacent, and a large group of copies is cut into several
+ranges by its ids. A run can be cut only at a splitter, so a range has at most
+two pieces of cut runs, at its ends; pieces with the same text, compared in
+full, are put together, and their totals come back by a broadcast of at most
+two rows of numbers for each range.
 
 Defined results: a null text is empty, and empty texts are equal to each
 other; a null id sorts before all others; repeated rows are rows of their own;
@@ -15,44 +17,68 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import columns_only
 
 #: Characters deleted before comparison: space, TAB, LF, VT, FF, CR.
 BLANKS = " \t\n\u000b\f\r"
 PREFIX = 16
-SAMPLES_PER_RANGE = 60
+#: What a row takes besides its text.
+ROW_BYTES = 200
+#: Rows sampled for each range, and at most in all; but always LEAST_SAMPLES for each range.
+SAMPLES_PER_RANGE, SAMPLES, LEAST_SAMPLES = 60, 200_000, 10
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def _splitters(keyed: DataFrame, ranges: int, rows: int) -> list[tuple]:
-    """At most ranges - 1 splitters out of a sample of about SAMPLES_PER_RANGE for each range."""
-    share = min(1.0, 1.2 * SAMPLES_PER_RANGE * ranges / max(rows, 1))
-    sample = keyed if share >= 1 else keyed.sample(share, seed=7)
-    got = sorted(tuple(r) for r in sample.select("prefix", "digest", "row_id").take(4 * SAMPLES_PER_RANGE * ranges))
-    step = max(1, len(got) // ranges)
-    return sorted(set(got[step::step]))[: ranges - 1]
+def _keyed(src: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with what they are compared by."""
+    norm = normalised(F.col("text"))
+    row_id = F.coalesce("doc_id", F.lit(-(2**63)))
+    found = src.select("doc_id", row_id.alias("row_id"), norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"))
+    return found.withColumns({"prefix": F.substring("norm", 1, PREFIX), "digest": F.sha2(F.col("norm").cast("binary"), 256)})
+
+
+def _splitters(src: DataFrame, ranges: int) -> list[tuple]:
+    """At most ranges - 1 splitters out of a random sample whose mean size is bounded, with about the same number of bytes
+    between them. Only splitters are taken from the sample; all rows are dealt."""
+    wanted = max(LEAST_SAMPLES * ranges, min(SAMPLES_PER_RANGE * ranges, SAMPLES))
+    share = min(1.0, 1.2 * wanted / max(src.select("doc_id").count(), 1))
+    sample = _keyed(src if share >= 1 else src.sample(share, seed=7))
+    got = sorted(tuple(r) for r in sample.select("prefix", "digest", "row_id", (F.octet_length("norm") + ROW_BYTES).alias("bytes")).collect())
+    left, size = sum(r[3] for r in got), 0
+    cuts: list[tuple] = []
+    for *key, n in got:
+        # a range ends before the row that brings it further from an even share of what is left
+        if size and size + n / 2 > left / (ranges - len(cuts)) and len(cuts) < ranges - 1 and (not cuts or cuts[-1] < tuple(key)):
+            cuts.append(tuple(key))
+            left, size = left - size, 0
+        size += n
+    return cuts
+
+
+def _table(cuts: list[tuple]) -> Column:
+    """The splitters as one literal."""
+    return F.from_json(F.lit(json.dumps([{"p": p, "d": d, "i": i} for p, d, i in cuts])), "array<struct<p:string,d:string,i:bigint>>")
 
 
 def _range_of(cuts: list[tuple], key: list[Column]) -> Column:
     """How many splitters are not above the key, by binary search."""
     if not cuts:
         return F.lit(0)
-    prefix, digest, row_id = (F.array(*(F.lit(c[i]) for c in cuts)) for i in range(3))
-    n, steps = len(cuts), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    table, n, steps = _table(cuts), len(cuts), [1 << k for k in reversed(range(len(cuts).bit_length()))]
 
     def advance(acc: Column, step: Column) -> Column:
         to = acc + step
-        at = lambda a: F.try_element_at(a, F.least(to, F.lit(n)))
-        p, d, i = at(prefix), at(digest), at(row_id)
-        not_above = (p < key[0]) | ((p == key[0]) & ((d < key[1]) | ((d == key[1]) & (i <= key[2]))))
+        c = F.try_element_at(table, F.least(to, F.lit(n)))
+        not_above = (c["p"] < key[0]) | ((c["p"] == key[0]) & ((c["d"] < key[1]) | ((c["d"] == key[1]) & (c["i"] <= key[2]))))
         return F.when((to <= n) & not_above, to).otherwise(acc)
 
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), advance)
@@ -66,40 +92,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = columns_only(docs, **{id_col: "bigint", text_col: "string"})
-    row_id = F.coalesce(F.col(id_col), F.lit(-(2**63)))
-    norm = normalised(F.col(text_col))
-    keyed = src.select(
-        F.col(id_col).alias("doc_id"), row_id.alias("row_id"), norm.alias("norm"),
-        F.char_length(F.coalesce(text_col, F.lit(""))).alias("points"),
-    ).withColumns({"prefix": F.substring("norm", 1, PREFIX), "digest": F.sha2(F.col("norm").cast("binary"), 256)})
-    cuts = _splitters(keyed, ranges, src.select(id_col).count())
-    dealt = keyed.withColumn("range", _range_of(cuts, [F.col("prefix"), F.col("digest"), F.col("row_id")])).repartition(ranges, "range")
+    src = columns_only(docs, **{id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
+    cuts = _splitters(src, ranges)
+    keyed = _keyed(src)
+    dealt = keyed.withColumn("range", _range_of(cuts, [F.col("prefix"), F.col("digest"), F.col("row_id")])).repartitionById(ranges, F.col("range"))
     order = W.partitionBy("range").orderBy("prefix", "digest", "norm", F.desc("points"), "row_id")
-    # neighbours: equal in full, or a new run begins; from here on the texts are left behind
-    placed = dealt.select(
-        "range", "doc_id", "row_id", "points", "digest",
-        F.row_number().over(order).alias("seq"), F.coalesce(F.col("norm") != F.lag("norm").over(order), F.lit(True)).alias("fresh"),
-    )
+    at_cut = F.lit(False)
+    if cuts:
+        digest_of = lambda nth: F.coalesce(F.try_element_at(_table(cuts), nth)["d"] == F.col("digest"), F.lit(False))
+        at_cut = F.when(F.col("range") > 0, digest_of(F.greatest("range", F.lit(1)))).otherwise(False) | digest_of(F.col("range") + 1)
+    # neighbours: equal in full, or a new run begins; from here on only the texts of runs that may be cut go along
+    fresh = F.coalesce(F.col("norm") != F.lag("norm").over(order), F.lit(True))
+    placed = dealt.select("range", "doc_id", "row_id", "points", "digest", F.row_number().over(order).alias("seq"), fresh.alias("fresh"), F.when(fresh & at_cut, F.col("norm")).alias("edge"))
     runs = placed.withColumn("run", F.sum(F.col("fresh").cast("int")).over(W.partitionBy("range").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
     within = W.partitionBy("range", "run").orderBy("seq")
     runs = runs.select(
-        "range", "run", "doc_id", "digest",
+        "range", "run", "doc_id", "digest", "edge",
         F.first("doc_id").over(within).alias("best_id"), F.first("row_id").over(within).alias("best_row"), F.first("points").over(within).alias("best_points"),
         F.count(F.lit(1)).over(W.partitionBy("range", "run")).alias("n"),
         F.row_number().over(within).alias("nth"),
     )
     if not cuts:
         return _result(runs.select("doc_id", "digest", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("nth") == 1).alias("kept")))
-    # a run can be cut only at a splitter, so only there do the digests say which runs belong together
-    at_cut = spark.createDataFrame([(c,) for c in sorted({c[1] for c in cuts})], T.StructType([T.StructField("digest", T.StringType())]))
-    pieces = runs.filter("nth = 1").join(F.broadcast(at_cut), "digest", "left_semi")
-    whole = pieces.groupBy("digest").agg(
-        F.sum("n").alias("all_n"), F.min(F.struct((-F.col("best_points")).alias("p"), F.col("best_row").alias("r"), F.col("best_id").alias("i"))).alias("best")
-    )
-    joined = runs.join(F.broadcast(whole), "digest", "left")
+    same = W.partitionBy("digest", "edge")
+    best = F.struct((-F.col("best_points")).alias("p"), F.col("best_row").alias("r"), F.col("range").alias("at"), F.col("best_id").alias("i"))
+    pieces = runs.filter(F.col("edge").isNotNull()).select(F.col("range").alias("at"), F.col("run").alias("piece"), F.sum("n").over(same).alias("all_n"), F.min(best).over(same).alias("best"))
+    joined = runs.join(F.broadcast(pieces), (F.col("range") == F.col("at")) & (F.col("run") == F.col("piece")), "left")
     cut = F.col("all_n").isNotNull()
-    own = (F.col("nth") == 1) & F.when(cut, F.col("best.r").eqNullSafe(F.col("best_row")) & (F.col("best.p") == -F.col("best_points"))).otherwise(True)
+    own = (F.col("nth") == 1) & F.when(cut, F.col("best.at") == F.col("range")).otherwise(True)
     return _result(joined.select("doc_id", "digest", F.when(cut, F.col("best.i")).otherwise(F.col("best_id")).alias("keep_id"), F.coalesce("all_n", "n").alias("group_size"), own.alias("kept")))
 
 
