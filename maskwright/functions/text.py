@@ -12,9 +12,9 @@ _ENDS = "\r\n|[" + LINE_ENDS + "]"
 
 def split_lines(text: Column) -> Column:
     """Lines of a text: an end at the very end gives no further line, an empty text none; null stays null."""
-    parts = F.split(text, _ENDS, -1)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(last_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    cut = lambda n: F.substring(text, F.lit(1), F.length(text) - n)
+    whole = F.when(F.endswith(text, F.lit("\r\n")), cut(2)).when(F.substring(text, -1, 1).isin(*LINE_ENDS), cut(1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, _ENDS, -1))
 
 
 def norm_value(value: Column) -> Column:

@@ -187,10 +187,14 @@ def with_listed(lines: DataFrame, entries: Sequence[Entry], names: Sequence[Name
 
 
 def fold(lines: DataFrame, entries: Sequence[Entry] = (), names: Sequence[NameParts] = (), values: Values | None = None) -> DataFrame:
-    """Fold lines (doc_ord, line_no, line, is_ocr, and if there are any: sweeps, presets): gives FOLDED.
+    """Fold lines (doc_ord, line_no, line, is_ocr, and if there are any: sweeps, presets): gives FOLDED."""
+    touched, rest = fold_parts(lines, entries, names, values)
+    return touched.unionByName(rest)
 
-    Lines that nothing can touch don't go to Python at all. values: entries, names and swept values that go to every task.
-    """
+
+def fold_parts(lines: DataFrame, entries: Sequence[Entry] = (), names: Sequence[NameParts] = (), values: Values | None = None) -> tuple[DataFrame, DataFrame]:
+    """fold in two parts: the lines that something may touch, and the others, which don't go to Python at all. values: entries,
+    names and swept values that go to every task."""
     spark = lines.sparkSession
     extra = [c for c in ("sweeps", "presets") if c in lines.columns]
     values = values or Values()
@@ -227,7 +231,7 @@ def fold(lines: DataFrame, entries: Sequence[Entry] = (), names: Sequence[NamePa
     plain = live.filter(~touched).select(
         "doc_ord", "line_no", "line", "is_ocr", F.array(F.struct(F.col("line").alias("lit"), F.lit(None).cast("int").alias("hit"))).alias("pieces"), F.array().cast(f"array<{HIT}>").alias("hits")
     )
-    return folded.unionByName(plain)
+    return folded, plain
 
 
 def native_text(line: Column, ocr: bool = False) -> Column:

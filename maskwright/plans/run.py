@@ -1,10 +1,10 @@
 """A redaction run over a corpus: candidates, two passes, findings, audit, and what is kept.
 
 Pass one finds values by pattern; pass two replaces each of them wherever else
-it stands, and numbers the tokens anew. The folded lines, from which hits,
-tokens, rendered lines and the audit are read, are stored once in the shared
-folder; as they hold raw text, the folder is emptied when the driver ends, or by
-store.release().
+it stands, and numbers the tokens anew. Of the folded lines those that something
+may touch, a small part of most corpora, are stored once in the shared folder;
+hits, tokens, rendered lines and the audit are read from them. As they hold raw
+text, the folder is emptied when the driver ends, or by store.release().
 """
 
 from __future__ import annotations
@@ -96,13 +96,14 @@ def redact(lines: DataFrame, entries: Sequence[Entry] = (), presets: DataFrame |
         values = sweeping.as_values(sweeps)
         if values is None:
             src = sweeping.with_sweeps(src, sweeps)
-    folded = folding.fold(src, entries, names, values)
+    touched, rest = folding.fold_parts(src, entries, names, values)
     if config.store:
-        folded.write.mode("overwrite").parquet(config.store)
-        folded = spark.read.schema(folded.schema).parquet(config.store)
+        touched.write.mode("overwrite").parquet(config.store)
+        touched = spark.read.schema(touched.schema).parquet(config.store)
     else:
-        folded, _ = stored(folded, "folded")
-    hits = numbering.with_ssn_alias(numbering.explode_hits(folded), numbering.full_ssns(spark, ssns, known))
+        touched, _ = stored(touched, "folded")
+    folded = touched.unionByName(rest)
+    hits = numbering.with_ssn_alias(numbering.explode_hits(touched), numbering.full_ssns(spark, ssns, known))
     blocks = region_hits(regions) if regions is not None and config.signatures else None
     tokens = numbering.token_table(hits.unionByName(blocks) if blocks is not None else hits)
     named = numbering.with_tokens(hits, tokens)
