@@ -6,10 +6,13 @@ of a byte after a context is by method C (a context seen T times with D
 distinct next bytes gives n / (T + D) to a byte seen n times, and leaves
 D / (T + D) to the shorter context, without the bytes already ruled out). A
 context that a language has not seen passes on to its longest seen suffix.
-As frozen statistics make the code length of a byte a function of the bytes
-before it, all of them are tabulated once: a row for every context seen in any
-language. A text's code length in each language is then the sum of a table
-column over all its bytes; the shortest code wins.
+Frozen statistics are sparse: for each language and order, the bits of each
+(context, byte) seen and of the escape from each context seen, under sorted keys;
+what a model takes grows with what its bounded samples hold, not with alphabet
+or languages at a power. A code length depends on the ORDER bytes before a byte
+only, so of a batch each distinct run of ORDER + 1 bytes is looked up once in
+each language; a text's code length is the sum over its bytes, and the shortest
+code wins.
 """
 
 from __future__ import annotations
@@ -30,10 +33,14 @@ SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1 << 20
 UNKNOWN = "und"
 PAD = 10  # the byte that stands before a text
+#: Bytes that are scored at once.
+SLICE = 1 << 20
+#: Bits of a byte that can't come, as its context leaves it no probability.
+IMPOSSIBLE = 99.0
 
 
 class Ppm:
-    """Frozen code lengths: bits[row of the context, symbol, language]."""
+    """Frozen code lengths of several languages."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.langs = sorted(samples)
@@ -47,46 +54,46 @@ class Ppm:
         # bytes never seen share a symbol: in every context they are coded alike, and as contexts they are all unseen
         self.symbol = np.full(256, n, np.int64)
         self.symbol[seen] = np.arange(n)
-        self.S = S = n + 1
-        grams = {}
-        for lang, v in texts.items():
-            ctx, sym = zip(*(self.contexts(self.symbol[t], np.array([0, len(t)])) for t in v), strict=True)
-            grams[lang] = np.concatenate(ctx), np.concatenate(sym)
-        every = np.concatenate([c for c, _ in grams.values()])
-        two, three = np.unique(every % S**2), np.unique(every)
-        self.row_of = np.tile(np.arange(S, dtype=np.int32), S)  # order 1: the last byte
-        self.row_of[two] = S + np.arange(len(two))
-        parent3 = self.row_of[three % S**2]
-        self.row_of = np.tile(self.row_of, S)
-        self.row_of[three] = S + len(two) + np.arange(len(three))
-        rows = S + len(two) + len(three)
+        self.S = n + 1
+        self.tables = [self._frozen(v) for _, v in sorted(texts.items())]
+
+    def _frozen(self, texts: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
+        """For each order from 0 the seen (context, symbol) with their bits, and the seen contexts with the bits of an escape."""
+        n, S = self.S - 1, self.S
+        ctx, sym = map(np.concatenate, zip(*(self.contexts(self.symbol[t], np.array([0, len(t)])) for t in texts), strict=True))
         base = np.full(S, 1 / 256)
         base[n] = (256 - n) / 256
-        self.bits = np.empty((rows * S, len(self.langs)), np.float32)
-        for j, lang in enumerate(self.langs):
-            ctx, sym = grams[lang]
-            p0 = self._mix(np.bincount(sym, minlength=S)[None], base[None])
-            p1 = self._mix(self._counts(ctx % S, sym, S), np.repeat(p0, S, 0))
-            p2 = self._mix(self._counts(np.searchsorted(two, ctx % S**2), sym, len(two)), p1[two % S])
-            p12 = np.concatenate([p1, p2])
-            p3 = self._mix(self._counts(np.searchsorted(three, ctx), sym, len(three)), p12[parent3])
-            p = np.concatenate([p12, p3])
-            p[:, n] /= max(1, 256 - n)  # of one such byte
-            self.bits[:, j] = -np.log2(np.maximum(p, 1e-30)).ravel()
-
-    def _counts(self, row: np.ndarray, sym: np.ndarray, rows: int) -> np.ndarray:
-        return np.bincount(row * self.S + sym, minlength=rows * self.S).reshape(rows, self.S)
-
-    @staticmethod
-    def _mix(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Method C with exclusion, for many contexts at once."""
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        rest = np.where(counts > 0, 0, shorter)
-        left = rest.sum(1, keepdims=True)
-        all_seen = (left <= 0) & (total > 0)
-        p = counts / np.maximum(total + np.where(all_seen, 0, kinds), 1)
-        esc = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
-        return (p + np.where(all_seen, 0, esc) * rest / np.where(left > 0, left, 1)).astype(np.float64)
+        nothing = np.zeros(0, np.int64)
+        tables = [(np.arange(S), np.full(S, np.inf) if n == 256 else -np.log2(np.maximum(base, 1e-30)), nothing, nothing.astype(float))]
+        tables[0][1][:n] = 8
+        for k in range(ORDER + 1):
+            cells, times = np.unique(ctx % S**k * S + sym, return_counts=True)
+            rows, first, kinds = np.unique(cells // S, return_index=True, return_counts=True)
+            total = np.add.reduceat(times, first)
+            # of the shorter context's probability, what the bytes not seen here have; it is shared out among them
+            left = 1 - np.add.reduceat(np.exp2(-self._bits(tables, cells)), first)
+            closed = left <= 1e-9
+            bits = -np.log2(times / np.repeat(total + np.where(closed, 0, kinds), kinds))
+            escape = np.where(closed, IMPOSSIBLE, -np.log2(kinds / (total + kinds) / np.where(closed, 1, left)))
+            tables.append((cells, bits, rows, escape))
+        return tables
+
+    def _bits(self, tables: list[tuple[np.ndarray, ...]], grams: np.ndarray) -> np.ndarray:
+        """Bits of symbols after contexts (context * S + symbol), by the tables of the first orders."""
+        out, open_ = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(len(tables) - 2, -2, -1):  # the table before order 0 holds all symbols
+            cells, bits, rows, escape = tables[k + 1]
+            cell = grams[open_] % self.S ** (k + 1 if k >= 0 else 1)
+            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+            hit = cells[at] == cell
+            out[open_[hit]] += bits[at[hit]]
+            open_, cell = open_[~hit], cell[~hit]
+            if len(rows) and len(open_):
+                row = cell // self.S
+                at = np.minimum(np.searchsorted(rows, row), len(rows) - 1)
+                known = rows[at] == row
+                out[open_[known]] += escape[at[known]]
+        return out
 
     def contexts(self, sym: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The last three symbols before each one, as a number; texts begin after PAD."""
@@ -100,21 +107,22 @@ class Ppm:
             ctx[at] = parts[0] * (S * S) + parts[1] * S + parts[2]
         return ctx, sym
 
-    def code_lengths(self, data: np.ndarray, offs: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    def code_lengths(self, data: np.ndarray, offs: np.ndarray, most: int = SLICE) -> np.ndarray:
         """Bits of each text in each language."""
         ctx, sym = self.contexts(self.symbol[data], offs)
-        cell = self.row_of[ctx].astype(np.int64) * self.S + sym
+        grams = ctx * self.S + sym
+        grams = grams.astype(np.uint32) if self.S**4 < 1 << 32 else grams  # sorts faster
+        unseen = np.log2(max(1, 257 - self.S))  # of one of the bytes that share a symbol
         out = np.zeros((len(offs) - 1, len(self.langs)))
-        lo = 0
-        while lo < len(offs) - 1:
-            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
-            full = lo + np.flatnonzero(np.diff(offs[lo : hi + 1]))
-            if len(full):
-                for a in range(offs[lo], offs[hi], most):  # a text longer than most comes in parts
-                    b = min(a + most, int(offs[hi]))
-                    own = full[(offs[full] < b) & (offs[full + 1] > a)]
-                    out[own] += np.add.reduceat(self.bits[cell[a:b]], np.maximum(offs[own] - a, 0), axis=0, dtype=np.float64)
-            lo = hi
+        for a in range(0, len(data), most):  # a text can come in parts
+            b = min(a + most, len(data))
+            own = np.flatnonzero((offs[:-1] < b) & (offs[1:] > a) & (np.diff(offs) > 0))
+            cuts = np.maximum(offs[own] - a, 0)
+            distinct, which = np.unique(grams[a:b], return_inverse=True)
+            distinct = distinct.astype(np.int64)
+            extra = np.where(distinct % self.S == self.S - 1, unseen, 0)
+            for j, tables in enumerate(self.tables):
+                out[own, j] += np.add.reduceat((self._bits(tables, distinct) + extra)[which], cuts)
         return out
 
 
@@ -168,7 +176,7 @@ def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_co
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shipped.value
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SLICE):
             data, offs = text_buffer(b.column(text_col))
             best, score, rate = np.full(b.num_rows, -1), np.zeros(b.num_rows), np.zeros(b.num_rows)
             if ppm is not None and len(data):
