@@ -53,9 +53,8 @@ def test_substring_dedup_against_plain_python(spark):
             assert len(s[at][2]) <= 20
             for end in range(at + RUN, len(s) + 1):
                 words = tuple(w for x in s[at:end] for w in x[2])
-                if len(words) >= MIN_WORDS:
+                if s[at][2] and len(words) >= MIN_WORDS:  # every run, however long, that begins with words
                     runs[words].add((i, at, end))
-                    break
     gone = defaultdict(set)
     for places in runs.values():
         for i, at, end in sorted(places)[1:]:
