@@ -1,7 +1,8 @@
 """Patterns, word lists and constants.
 
-Fixed values: everything in this module down to `Rule` must equal what users of
-existing lists and extracts rely on, so it is stated as plain text.
+Fixed values: everything down to the end mark must equal what users of existing
+lists and extracts rely on, the order of the rules too, so it is stated as plain
+text.
 """
 
 from __future__ import annotations
@@ -39,10 +40,29 @@ STREET_SUFFIXES_LONG = "STREET|AVENUE|DRIVE|LANE|BLVD|BOULEVARD|COURT|CIRCLE|PLA
 EVERYDAY_SUFFIXES = "CENTER CTR PLAZA PLZ PARKWAY PKWY HIGHWAY HWY SQUARE SQ TRAIL TRL".split()
 UNIT_NAMES = "SUITE STE APT APARTMENT UNIT ROOM RM FLOOR".split()
 ADDRESS_SYNONYMS = [
-    "STREET ST", "AVENUE AVE AV", "ROAD RD", "DRIVE DR", "LANE LN", "BOULEVARD BLVD", "COURT CT", "CIRCLE CIR",
-    "PLACE PL", "TERRACE TER", "PARKWAY PKWY", "HIGHWAY HWY", "SQUARE SQ", "TRAIL TRL", "CENTER CTR", "PLAZA PLZ",
-    "NORTH N", "SOUTH S", "EAST E", "WEST W", "APARTMENT APT", "SUITE STE",
-]
+    ["STREET", "ST"],
+    ["AVENUE", "AVE", "AV"],
+    ["ROAD", "RD"],
+    ["DRIVE", "DR"],
+    ["LANE", "LN"],
+    ["BOULEVARD", "BLVD"],
+    ["COURT", "CT"],
+    ["CIRCLE", "CIR"],
+    ["PLACE", "PL"],
+    ["TERRACE", "TER"],
+    ["PARKWAY", "PKWY"],
+    ["HIGHWAY", "HWY"],
+    ["SQUARE", "SQ"],
+    ["TRAIL", "TRL"],
+    ["CENTER", "CTR"],
+    ["PLAZA", "PLZ"],
+    ["NORTH", "N"],
+    ["SOUTH", "S"],
+    ["EAST", "E"],
+    ["WEST", "W"],
+    ["APARTMENT", "APT"],
+    ["SUITE", "STE"],
+]
 UNIT_MARKS = "APT UNIT STE SUITE #".split()
 STATES = (
     "AL|AK|AZ|AR|CA|CO|CT|DE|DC|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|"
@@ -107,7 +127,6 @@ OCR_NOTE = "OCR-DERIVED"
 STAMP_LEFT = "[SIGNATURE] stamp label remains"
 NAME_LEFT = "possible unredacted name"
 
-# -------------------------------------------------------------- end of fixed values
 
 
 @dataclass(frozen=True)
@@ -156,6 +175,8 @@ RULES = (
     Rule("city_edge_again", "ADDR", CITY_EDGE_OCR, True, unless=FORM_VOCAB, ocr_only=True),
 )
 
+# -------------------------------------------------------------- end of fixed values
+
 #: A line without a digit, an @ and eight hex letters in a row is left alone by every rule.
 PREFILTER = r"(?U)\p{Nd}|@|[0-9A-Fa-f]{8}"
 

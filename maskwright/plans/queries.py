@@ -739,11 +739,8 @@ def redact_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_FOUND} select distinct doc_id as doc_ord, cast(line_no + 1 as bigint) as line_no, '[PATTERN:' || kind || ']' as reason from h where doc_id % 3 = 0")
 def audit_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of a run's output into which a leak was put: a third of the documents stand there as they were."""
-    from pyspark.sql import Column
-
-    raw = document_lines(spark, sf_dir)
-    out = run.redact(raw)
-    leak: Column = F.col("doc_ord") % 3 == 0
+    out = run.redact(document_lines(spark, sf_dir))
+    leak = F.col("doc_ord") % 3 == 0
     left = out.lines.withColumn("line", F.when(leak, F.col("line")).otherwise(F.col("redacted"))).select("doc_ord", "line_no", "line", "is_ocr")
     return audit.audit(left).filter("severity = 'FAIL'").select("doc_ord", F.col("line_no").cast("bigint").alias("line_no"), "reason")
 
