@@ -1,4 +1,8 @@
-"""From raw documents to token ids: the training-data operators as a pipeline."""
+"""From raw documents to token ids: the training-data operators as a pipeline.
+
+What each stage makes of nulls, empty and long texts, repeated rows, empty tables and
+further columns is stated at its function in maskwright.llm.stages.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +14,27 @@ from maskwright.llm.queries import PIECES
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a predicted language; texts without a letter go (stages.with_language)."""
     return stages.with_language(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of equal texts (stages.without_copies)."""
     return stages.without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of near copies (stages.without_near_copies)."""
     return stages.without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark, of one item or more (stages.without_benchmark)."""
     return stages.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids in place of texts (stages.as_pieces)."""
     return stages.as_pieces(docs, PIECES)
 
 
