@@ -14,12 +14,16 @@ run of `slop` words of one document holds every term of the window.
 
 Terms are held as 64-bit hashes of their bytes. Items are taken in blocks of
 at most BLOCK_WORDS words, so what is broadcast has a fixed bound; every block
-is searched in all segments.
+is searched in all segments. If there are several, they are searched one after
+the other: each one's matches are stored and its broadcast is given up before
+the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -249,13 +253,26 @@ def decontaminate(
     if index is None:
         index, _ = stored(build_index(docs, id_col, text_col), "index")
     segments = index.withColumn("segment", F.monotonically_increasing_id())
-    found, blocks = None, 0
-    for ph in _item_blocks(items, item_col, item_text, window, block_words):
-        shipped = spark.sparkContext.broadcast(ph)
-        part = segments.mapInArrow(_scan(lambda s=shipped: s.value, slop), HITS)
-        found, blocks = part if found is None else found.unionAll(part), blocks + 1
-    if blocks > 1:
+    blocks = _item_blocks(items, item_col, item_text, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shipped = spark.sparkContext.broadcast(first)
+        found = segments.mapInArrow(_scan(lambda: shipped.value, slop), HITS)
+    else:
+        segments, _ = stored(segments, "segments", "none")  # rows are numbered once for all blocks
+        parts = [_searched(segments, ph, slop) for ph in chain([first, second], blocks)]
         every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        found = found.groupBy("segment", "nth").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), every("hit"), every("items"), every("near"))
+        matched = reduce(DataFrame.unionAll, parts).groupBy("segment", "nth").agg(every("hit"), every("items"), every("near"))
+        plain = segments.mapInArrow(_scan(lambda: Phrases([], [], window), 0), HITS).select("segment", "nth", "doc_id", "n_words")
+        lists = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hit", "array<int>"), ("items", "array<string>"), ("near", "array<string>"))]
+        found = plain.join(matched, ["segment", "nth"], "left").select("doc_id", "n_words", *lists)
     return found.select("doc_id", "n_words", "hit", "items", "near", (F.size("items") >= min_items).alias("contaminated"))
 
+
+def _searched(segments: DataFrame, ph: Phrases, slop: int) -> DataFrame:
+    """The documents with a match of a block of items, stored."""
+    shipped = segments.sparkSession.sparkContext.broadcast(ph)
+    found = segments.mapInArrow(_scan(lambda: shipped.value, slop), HITS).filter((F.size("items") > 0) | (F.size("near") > 0))
+    out, _ = stored(found, "matches")
+    shipped.destroy()
+    return out

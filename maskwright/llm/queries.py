@@ -29,7 +29,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", F.size("hit").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", F.size("near").cast("bigint").alias("n_near"),
     )
 
 
@@ -103,10 +103,17 @@ occ as (
   from spot join (select distinct k from win) ks on i + ks.k - 1 <= len(w)
   join win on win.k = ks.k and win.g = array_to_string(w[i:i + ks.k - 1], ' ')),
 hit as (select rid, count(distinct p) as n_hit from (select rid, unnest(generate_series(i, i + k - 1)) as p from occ) group by rid),
-its as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct rid, item_id::varchar as item from occ) group by rid)
+its as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct rid, item_id::varchar as item from occ) group by rid),
+word as (select rid, unnest(w) as t, generate_subscripts(w, 1) as p from d),
+freq as (select t, count(*) as n from word group by t),
+sets as (select row_number() over () as id, item_id, terms from (select distinct item_id, list_sort(list_distinct(w[i:i + 7])) as terms
+  from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 7, 1))) as i from b where len(w) > 0))),
+rare as (select id, arg_min(u.t, coalesce(freq.n, 0)) as t from (select id, unnest(terms) as t from sets) u left join freq on freq.t = u.t group by id),
+place as (select sets.item_id, sets.terms, word.rid, unnest(generate_series(greatest(1, word.p - 15), word.p)) as s from rare join word on word.t = rare.t join sets on sets.id = rare.id),
+close_ as (select rid, count(distinct item_id) as n_near from place join d using (rid) where list_has_all(w[s:s + 15], terms) group by rid)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
-from d left join hit using (rid) left join its using (rid)
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated, coalesce(n_near, 0) as n_near
+from d left join hit using (rid) left join its using (rid) left join close_ using (rid)
 """,
     "op2_exact_dedup": f"""
 with t as (select doc_id, {_NORM} as norm, length(coalesce(text, '')) as points from documents),
