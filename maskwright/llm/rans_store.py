@@ -31,31 +31,37 @@ from .common import arrow_batches, columns_only, slices, stored
 
 MAGIC = b"MWR2"
 HEAD = struct.Struct("<4sIIIQIIIIII")
+#: Frequencies sum to 2 ** SCALE, or to the next power that gives every id of a file two parts.
 SCALE = 20
 ONE, LOWEST = np.uint64(1), np.uint64(1 << 31)
 BLOCK_IDS, FILE_IDS = 1 << 18, 1 << 22
 LANES, EVERY = 512, 128
+#: Vocabularies of more ids are searched, smaller ones indexed.
+WIDE = 1 << 22
 END_ID = 2
 NULL_ID = np.iinfo(np.int64).min
 FILES = "part int, seq int, start bigint, n_ids bigint, n_docs bigint, freqs binary, blocks array<binary>"
 
 
 class Frequencies:
-    """Frequencies of ids, scaled to sum to 2 ** SCALE."""
+    """Frequencies of ids, scaled to sum to 2 ** scale."""
 
     def __init__(self, symbols: np.ndarray, freq: np.ndarray):
         self.symbols, self.freq = symbols, freq.astype(np.uint64)
         self.cum = np.cumsum(self.freq) - self.freq
+        self.scale = int(self.freq.sum()).bit_length() - 1
 
     @classmethod
     def of(cls, ids: np.ndarray) -> "Frequencies":
-        count = np.bincount(ids)
-        symbols = np.flatnonzero(count)
-        if len(symbols) > 1 << (SCALE - 1):
-            raise ValueError(f"more than {1 << (SCALE - 1)} different ids in a file")
-        n = count[symbols]
-        freq = np.maximum(1, np.floor(n * ((1 << SCALE) / n.sum())).astype(np.int64))
-        over = int(freq.sum()) - (1 << SCALE)
+        if ids.max() < WIDE:
+            count = np.bincount(ids)
+            symbols = np.flatnonzero(count)
+            n = count[symbols]
+        else:
+            symbols, n = np.unique(ids, return_counts=True)
+        scale = max(SCALE, (2 * len(symbols) - 1).bit_length())
+        freq = np.maximum(1, np.floor(n * ((1 << scale) / n.sum())).astype(np.int64))
+        over = int(freq.sum()) - (1 << scale)
         order = np.argsort(-freq, kind="stable")
         if over < 0:
             freq[order[0]] -= over
@@ -65,7 +71,7 @@ class Frequencies:
             take = min(over, int(freq[i]) // 2)
             freq[i] -= take
             over -= take
-        return cls(symbols, freq)
+        return cls(symbols.astype(np.int64), freq)
 
     def packed(self) -> bytes:
         return zlib.compress(np.diff(self.symbols, prepend=0).astype("<u4").tobytes() + self.freq.astype("<u4").tobytes(), 6)
@@ -76,9 +82,12 @@ class Frequencies:
         return cls(np.cumsum(a), b)
 
     def coded(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.symbols, ids) if self.symbols[-1] >= WIDE else self._places()[ids]
+
+    def _places(self) -> np.ndarray:
         place = np.zeros(int(self.symbols[-1]) + 1, np.int64)
         place[self.symbols] = np.arange(len(self.symbols))
-        return place[ids]
+        return place
 
     def slots(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.symbols), dtype=np.int32), self.freq.astype(np.int64))
@@ -94,7 +103,7 @@ def encode_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, tabl
     code[:n] = table.coded(ids)
     code = code.reshape(steps, lanes)
     freq, cum = table.freq[code], table.cum[code]
-    limit = freq << np.uint64(63 - SCALE)
+    limit = freq << np.uint64(63 - table.scale)
     x = np.full(lanes, LOWEST)
     words: list[np.ndarray] = []
     states: list[np.ndarray] = []
@@ -108,7 +117,7 @@ def encode_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, tabl
             size += len(words[-1])
             x[full] >>= np.uint64(32)
         q = x // f
-        x = (q << np.uint64(SCALE)) + (x - q * f) + cum[t]
+        x = (q << np.uint64(table.scale)) + (x - q * f) + cum[t]
         if t % EVERY == 0:
             states.append(x.copy())
             written.append(size)
@@ -141,7 +150,7 @@ class Block:
     def part(self, point: int) -> np.ndarray:
         """The ids from a checkpoint to the next; parts can be decoded in any order."""
         table, x, at = self.table, self.states[point].copy(), int(self.places[point])
-        mask, down, up = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
+        mask, down, up = np.uint64((1 << table.scale) - 1), np.uint64(table.scale), np.uint64(32)
         steps = min(self.every, self.steps - point * self.every)
         out = np.empty((steps, self.lanes), np.int32)
         for t in range(steps):
