@@ -18,8 +18,9 @@ from ..sources.store import drop_path, release, shared_dir, stored
 __all__ = ["drop_path", "release", "shared_dir", "stored"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch; with the slices of SLICE_BYTES below it bounds what a Python worker holds.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch (a row of more bytes is one of its own); with the slices of SLICE_BYTES below they bound
+#: what a task holds outside the JVM's heap.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 SLICE_BYTES = 4 << 20
 
 
@@ -28,8 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches: whole texts can be long."""
+    """Smaller Arrow batches: whole texts can be long, and long ones can follow each other."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def vocabulary(path: str) -> str:
@@ -100,6 +102,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield b.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
