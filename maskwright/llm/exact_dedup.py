@@ -18,6 +18,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,11 +39,11 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def _keyed(src: DataFrame) -> DataFrame:
+def _keyed(src: DataFrame, along: Sequence[str] = ()) -> DataFrame:
     """Rows (doc_id, text) with what they are compared by."""
     norm = normalised(F.col("text"))
     row_id = F.coalesce("doc_id", F.lit(-(2**63)))
-    found = src.select("doc_id", row_id.alias("row_id"), norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"))
+    found = src.select("doc_id", row_id.alias("row_id"), norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).alias("points"), *along)
     return found.withColumns({"prefix": F.substring("norm", 1, PREFIX), "digest": F.sha2(F.col("norm").cast("binary"), 256)})
 
 
@@ -84,8 +85,9 @@ def _range_of(cuts: list[tuple], key: list[Column]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), advance)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256. With keep, the text and the columns of docs
+    that it names are there too; of each group kept is true in exactly one row.
 
     Of equal texts the one with the most code points in its original text stays,
     then the smallest id.
@@ -94,8 +96,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = columns_only(docs, **{id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
     cuts = _splitters(src, ranges)
-    keyed = _keyed(src)
-    dealt = keyed.withColumn("range", _range_of(cuts, [F.col("prefix"), F.col("digest"), F.col("row_id")])).repartitionById(ranges, F.col("range"))
+    along = ["text", "row"] if keep else []  # what goes along with a row
+    if keep:
+        src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
+    keyed = _keyed(src, along)
+    dealt = keyed.withColumn("range", _range_of(cuts, [F.col("prefix"), F.col("digest"), F.col("row_id")]))
+    if keep:  # one of the two texts is dealt, and the other made from it
+        dealt = dealt.drop("norm").repartitionById(ranges, F.col("range")).withColumn("norm", normalised(F.col("text")))
+    else:
+        dealt = dealt.repartitionById(ranges, F.col("range"))
     order = W.partitionBy("range").orderBy("prefix", "digest", "norm", F.desc("points"), "row_id")
     at_cut = F.lit(False)
     if cuts:
@@ -103,25 +112,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at_cut = F.when(F.col("range") > 0, digest_of(F.greatest("range", F.lit(1)))).otherwise(False) | digest_of(F.col("range") + 1)
     # neighbours: equal in full, or a new run begins; from here on only the texts of runs that may be cut go along
     fresh = F.coalesce(F.col("norm") != F.lag("norm").over(order), F.lit(True))
-    placed = dealt.select("range", "doc_id", "row_id", "points", "digest", F.row_number().over(order).alias("seq"), fresh.alias("fresh"), F.when(fresh & at_cut, F.col("norm")).alias("edge"))
+    placed = dealt.select("range", "doc_id", "row_id", "points", "digest", F.row_number().over(order).alias("seq"), fresh.alias("fresh"), F.when(fresh & at_cut, F.col("norm")).alias("edge"), *along)
     runs = placed.withColumn("run", F.sum(F.col("fresh").cast("int")).over(W.partitionBy("range").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
     within = W.partitionBy("range", "run").orderBy("seq")
     runs = runs.select(
         "range", "run", "doc_id", "digest", "edge",
         F.first("doc_id").over(within).alias("best_id"), F.first("row_id").over(within).alias("best_row"), F.first("points").over(within).alias("best_points"),
         F.count(F.lit(1)).over(W.partitionBy("range", "run")).alias("n"),
-        F.row_number().over(within).alias("nth"),
+        F.row_number().over(within).alias("nth"), *along,
     )
+    more = ["text", "row.*"] if keep else []
     if not cuts:
-        return _result(runs.select("doc_id", "digest", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("nth") == 1).alias("kept")))
+        return _result(runs.select("doc_id", "digest", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("nth") == 1).alias("kept"), *along), more)
     same = W.partitionBy("digest", "edge")
+    # with this column the pieces ask for the same columns as the join below, so both read one shuffle
+    found = (F.xxhash64("row") if keep else F.lit(1)).alias("found")
     best = F.struct((-F.col("best_points")).alias("p"), F.col("best_row").alias("r"), F.col("range").alias("at"), F.col("best_id").alias("i"))
-    pieces = runs.filter(F.col("edge").isNotNull()).select(F.col("range").alias("at"), F.col("run").alias("piece"), F.sum("n").over(same).alias("all_n"), F.min(best).over(same).alias("best"))
+    pieces = runs.filter(F.col("edge").isNotNull()).select(F.col("range").alias("at"), F.col("run").alias("piece"), F.sum("n").over(same).alias("all_n"), F.min(best).over(same).alias("best"), found)
     joined = runs.join(F.broadcast(pieces), (F.col("range") == F.col("at")) & (F.col("run") == F.col("piece")), "left")
-    cut = F.col("all_n").isNotNull()
+    cut = F.col("found").isNotNull()
     own = (F.col("nth") == 1) & F.when(cut, F.col("best.at") == F.col("range")).otherwise(True)
-    return _result(joined.select("doc_id", "digest", F.when(cut, F.col("best.i")).otherwise(F.col("best_id")).alias("keep_id"), F.coalesce("all_n", "n").alias("group_size"), own.alias("kept")))
+    return _result(joined.select("doc_id", "digest", F.when(cut, F.col("best.i")).otherwise(F.col("best_id")).alias("keep_id"), F.coalesce("all_n", "n").alias("group_size"), own.alias("kept"), *along), more)
 
 
-def _result(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
+def _result(df: DataFrame, more: Sequence[str]) -> DataFrame:
+    return df.select("doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), "kept", F.col("digest").alias("text_sha256"), *more)

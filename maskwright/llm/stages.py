@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import lang_ppm, sp_codec
 from .common import columns_only, stored
 from .decontam import decontaminate
-from .exact_dedup import exact_dedup, normalised
+from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
 
 DOCUMENTS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
@@ -40,13 +39,8 @@ def without_copies(docs: DataFrame) -> DataFrame:
     Null and empty texts are equal to each other, so one of them stays; of rows that share id and text one stays; rows with a
     null id are rows like any other; an empty table gives an empty one.
     """
-    docs = documents(docs)
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    keyed = docs.withColumn("sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    both = keyed.join(kept.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(kept["k_id"]) & (keyed["sha"] == kept["k_sha"]), "left_semi")
-    # rows that share id and text
-    nth = F.row_number().over(W.partitionBy("doc_id", "sha").orderBy(F.desc(F.char_length("text")), "text"))
-    return documents(both.withColumn("nth", nth).filter("nth = 1"))
+    rest = tuple(c for c in DOCUMENTS if c not in ("doc_id", "text"))
+    return documents(exact_dedup(documents(docs), keep=rest).filter("kept"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
