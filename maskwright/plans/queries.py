@@ -582,7 +582,8 @@ def city_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select c_custkey as k, '[SIGNATURE-' || row_number() over (order by c_custkey) || '] and [SSN-' || row_number() over (order by c_custkey) || ']' as text from customer""")
 def preset_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of signature regions through a whole run; the regions are numbered before any line."""
-    lines = _repeated(spark, sf_dir, "'Jane S. and ' || lpad(cast(k as string), 9, '0') || ' SSN'").withColumn("line", F.concat(F.lit("Jane S. and 123-4"), F.substring(F.lpad(F.col("doc_ord").cast("string"), 5, "0"), 1, 1), F.lit("-"), F.substring(F.lpad(F.col("doc_ord").cast("string"), 5, "0"), 2, 4)))
+    k = "lpad(cast(k as string), 9, '0')"
+    lines = _repeated(spark, sf_dir, f"'Jane S. and ' || substring({k}, 1, 3) || '-' || substring({k}, 4, 2) || '-' || substring({k}, 6, 4)")
     presets = lines.select("doc_ord", "line_no", F.lit(0).alias("start"), F.lit(7).alias("end"), F.concat(F.lit("signer "), F.col("doc_ord").cast("string")).alias("key"))
     regions = lines.select("doc_ord", F.lit(1).alias("page_no"), F.lit(0).alias("n"), F.concat(F.lit("signer "), F.col("doc_ord").cast("string")).alias("key"))
     out = run.redact(lines, presets=presets, regions=regions, config=run.RunConfig(sweep=False))
