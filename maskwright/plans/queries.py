@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_value, shadow, token_value
+from ..functions.text import norm_value, shadow, token_value, touchable
 from ..operators import audit, dictionary, layout, mining, sweep, tokens
 from ..operators.fold import fold, native_text
 from ..sources.lines import explode_lines, join_lines, missing_values, read_table, route, stitch_pages, text_layer, with_fields
@@ -67,8 +67,15 @@ def text_layer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_layer(document_lines(spark, sf_dir)).withColumnRenamed("doc_ord", "doc_id")
 
 
+def _corpus_hits(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """Hits of these kinds. Texts and lines that can't have any are left out before they are cut and folded."""
+    holds = (lambda text: text.contains("@")) if kinds == ("EMAIL",) else touchable
+    docs = read_table(spark, sf_dir, "documents").filter(holds(F.col("text")))
+    return tokens.explode_hits(fold(explode_lines(docs).filter(holds(F.col("line"))))).filter(F.col("kind").isin(*kinds))
+
+
 def _hits(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    found = tokens.explode_hits(fold(document_lines(spark, sf_dir))).filter(F.col("kind") == kind)
+    found = _corpus_hits(spark, sf_dir, kind)
     return found.select(F.col("doc_ord").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), F.col("original").alias("found"))
 
 

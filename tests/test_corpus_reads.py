@@ -14,6 +14,22 @@ def plan_of(df) -> str:  # noqa: ANN001
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize(("name", "test"), [("detect_email", "Contains(text")])
+def test_texts_without_a_value_are_not_cut_into_lines(spark, sf_dir, name, test):
+    below = plan_of(plans.queries()[name](spark, sf_dir)).partition("Generate posexplode")[2]
+    assert test in below and ("RLIKE" in below or "Contains(text" in below)
+
+
+def test_lines_and_texts_that_rules_may_touch(spark):
+    texts = ["a\r\nb\rc", "a\r\n\r\n", "\n", "x\x85y ", "", None, "\r\n", "a\rb\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", split_lines(rows_col()).alias("l")).collect()
+    assert [r["l"] for r in sorted(rows)] == [["a", "b", "c"], ["a", ""], [""], ["x", "y"], [], None, [""], ["a", "b"]]
+    told = ["a1", "a@b", "ABCDEFABCDEF...", "abcdefab-abcd", "٣", "\U0001d7ce"]
+    bare = ["plain text", "...", "ABCDEFAB", "well-known"]
+    rows = spark.createDataFrame([(t,) for t in told + bare], "t string").filter(touchable(rows_col())).collect()
+    assert {r["t"] for r in rows} == set(told)
+
+
 def rows_col():  # noqa: ANN201
     from pyspark.sql import functions as F
 
