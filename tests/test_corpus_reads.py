@@ -14,7 +14,7 @@ def plan_of(df) -> str:  # noqa: ANN001
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize(("name", "test"), [("detect_email", "Contains(text")])
+@pytest.mark.parametrize(("name", "test"), [("detect_email", "Contains(text"), ("detect_phone", "text#")])
 def test_texts_without_a_value_are_not_cut_into_lines(spark, sf_dir, name, test):
     below = plan_of(plans.queries()[name](spark, sf_dir)).partition("Generate posexplode")[2]
     assert test in below and ("RLIKE" in below or "Contains(text" in below)
