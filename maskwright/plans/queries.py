@@ -119,7 +119,7 @@ e as (select upper(unnest(l)) as norm, doc_id, line_no, generate_subscripts(l, 1
 one as (select norm, min((doc_id * 1000000 + line_no) * 1000 + p) as spot, count(*) as n from e group by norm)
 select norm, n, '[EMAIL-' || cast(row_number() over (order by spot) as varchar) || ']' as token from one""")
 def token_first_encounter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = tokens.explode_hits(fold(document_lines(spark, sf_dir))).filter("kind = 'EMAIL'")
+    hits, _ = stored(_corpus_hits(spark, sf_dir, "EMAIL"), "hits")
     return tokens.token_table(hits, range_docs=100).select("norm", "n", "token")
 
 

@@ -20,7 +20,7 @@ def test_texts_without_a_value_are_not_cut_into_lines(spark, sf_dir, name, test)
     assert test in below and ("RLIKE" in below or "Contains(text" in below)
 
 
-@pytest.mark.parametrize("name", ["findings_by_doc"])
+@pytest.mark.parametrize("name", ["findings_by_doc", "token_first_encounter"])
 def test_documents_are_folded_once(spark, sf_dir, name):
     assert "MapInArrow" not in plan_of(plans.queries()[name](spark, sf_dir))
 
