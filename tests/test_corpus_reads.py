@@ -25,6 +25,10 @@ def test_documents_are_folded_once(spark, sf_dir, name):
     assert "MapInArrow" not in plan_of(plans.queries()[name](spark, sf_dir))
 
 
+def test_the_twin_needs_no_join(spark, sf_dir):
+    assert "Join" not in plan_of(plans.queries()["native_twin"](spark, sf_dir))
+
+
 def test_lines_and_texts_that_rules_may_touch(spark):
     texts = ["a\r\nb\rc", "a\r\n\r\n", "\n", "x\x85y ", "", None, "\r\n", "a\rb\n"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", split_lines(rows_col()).alias("l")).collect()
