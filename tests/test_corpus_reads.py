@@ -29,6 +29,18 @@ def test_the_twin_needs_no_join(spark, sf_dir):
     assert "Join" not in plan_of(plans.queries()["native_twin"](spark, sf_dir))
 
 
+def test_a_run_and_its_audit_read_the_lines_twice(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def row(i: int) -> tuple:
+        reads.add(1)
+        return i, 0, "SSN 123-45-6789" if i == 3 else "MAIL a@b.example" if i == 4 else "nothing here", False
+
+    lines = spark.createDataFrame(spark.sparkContext.parallelize(range(40), 2).map(row), "doc_ord bigint, line_no int, line string, is_ocr boolean")
+    assert run.redact(lines).audit.collect() == []
+    assert reads.value == 80
+
+
 def test_lines_and_texts_that_rules_may_touch(spark):
     texts = ["a\r\nb\rc", "a\r\n\r\n", "\n", "x\x85y ", "", None, "\r\n", "a\rb\n"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", split_lines(rows_col()).alias("l")).collect()
