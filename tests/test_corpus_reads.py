@@ -6,6 +6,7 @@ import pytest
 from compare import oracle, rows_of
 
 from maskwright.functions.text import split_lines, touchable
+from maskwright.operators import sweep
 from maskwright.plans import queries as plans
 from maskwright.plans import run
 
@@ -63,3 +64,10 @@ def test_preset_run_on_keys_of_six_digits_and_more(spark, tmp_path):
     next((tmp_path / "spark").glob("*.parquet")).rename(tmp_path / "customer.parquet")
     _, want = oracle(str(tmp_path), plans.oracle_sql()["preset_run"])
     assert rows_of(plans.queries()["preset_run"](spark, str(tmp_path))) == want
+
+
+def test_addresses_of_one_host_are_not_filed_under_its_name(spark):
+    rows = [("EMAIL", f"u{i}@mailhost.example.com") for i in range(50)]
+    values = sweep.as_values(sweep.sweep_list(spark, rows))
+    values.file()
+    assert values.on("write to u7@mailhost.example.com", False)[2] == [s for s in values.sweeps if s[1] == "u7@mailhost.example.com"]
